@@ -5,7 +5,8 @@ paragraph, formula or environment, sentence, word, part of a word, and where non
 next piece starts at the last seam of words that leaves overlap tokens or more shared with the piece before, so
 consecutive pieces share overlap_tokens, rounded up to parts of words. The pieces without what they share give the text.
 
-The limit holds for each piece encoded alone by the tokenizer. A text within the limit is one piece; null and empty texts
+The limit holds for each piece encoded alone by the tokenizer (a single character of more tokens is a piece). Where it
+can't hold otherwise, within words cut by character, overlap is given up. A text within the limit is one piece; null and empty texts
 give none. Repeated documents give their pieces again; other columns are not looked at. An overlap of the limit or more
 is an error.
 """
@@ -13,10 +14,10 @@ is an error.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,111 +26,124 @@ from kinfold.llm import tokens
 
 #: A piece may end where a run of blanks begins, so blanks stay with the piece behind them and the tokens of a piece are
 #: those it has within the text. Kinds of such places, from the highest:
-SECTION = re.compile(rb"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|appendix|bibliography)\b|\\begin\{(?:abstract|document|thebibliography)\}")
-PARAGRAPH = re.compile(rb"\n[ \t\r]*%?[ \t\r]*\n|\\par\b")
-FORMULA = re.compile(rb"\\begin\{|\\\[|\$\$|\\item\b|\\bibitem\b")
-FORMULA_END = re.compile(rb"\\end\{[^{}]*\}|\\\]")
-SENTENCE = re.compile(rb"[.!?]+[\"')\]}$]*(?=\s)")
-#: Blanks that the tokenizer knows beyond ASCII's: with them, pieces are counted again.
-RARE_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SECTION = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|appendix|bibliography)\b|\\begin\{(?:abstract|document|thebibliography)\}")
+PARAGRAPH = re.compile(r"\n[ \t\r]*%?[ \t\r]*\n|\\par\b")
+FORMULA = re.compile(r"\\(?:begin\{|\[|item\b|bibitem\b)|\$\$")
+FORMULA_END = re.compile(r"\\(?:end\{[^{}]*\}|\])")
+SENTENCE = re.compile(r"[.!?…。！？][.!?\"')\]}”’»$]*(?=\s)")
+#: A word of more tokens (or of half of what a piece has beside its overlap) may be cut within.
+LONG_WORD = 64
 MAX_PROFILES = 1000
 #: Texts of so many characters make an output batch.
 BATCH_CHARACTERS = 8 << 20
 
-_CLASS = np.full(256, 4, np.int8)  # 0 blank, 1 letter, 2 digit, 3 other, 4 beyond ASCII
-for _c in range(128):
-    _CLASS[_c] = 0 if chr(_c) in "\t\n\x0b\x0c\r " else 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 3
-
 
 class Text:
-    """A text with what all profiles share. Places are counted in tokens, offsets in bytes."""
+    """A text as parts (words with the space ahead, and blanks): offsets and tokens ahead of each part."""
 
-    def __init__(self, text: str, vocabulary: tokens.Vocabulary):
+    def __init__(self, text: str, vocabulary: tokens.Vocabulary, long_word: int = LONG_WORD):
         self.text, self.vocabulary = text, vocabulary
-        self.raw = text.encode("utf-8", "replace")
-        ids = vocabulary.encode(text)
-        self.n = len(ids)
-        self.at = np.concatenate(([0], np.cumsum(vocabulary.lengths[ids])))
+        parts = tokens.PARTS.findall(text)
+        counts = list(map(vocabulary.__getitem__, parts))
+        self.inner: list[int] = []  # parts that begin within a word, ascending
+        if counts and max(counts) > long_word:
+            parts, counts = self._break(parts, counts, long_word)
+        self.parts = parts
+        self.at = list(accumulate(map(len, parts), initial=0))
+        self.sum = list(accumulate(counts, initial=0))
+        self.n = self.sum[-1]
         self.kinds: list[list[int]] | None = None
 
+    def _break(self, parts: list[str], counts: list[int], long_word: int) -> tuple[list[str], list[int]]:
+        out, n, run = [], [], max(1, long_word // 8)
+        for p, c in zip(parts, counts):
+            runs = [p] if c <= long_word else [p[i : i + run] for i in range(0, len(p), run)]
+            self.inner += range(len(out) + 1, len(out) + len(runs))
+            out += runs
+            n += [c] if len(runs) == 1 else map(self.vocabulary.__getitem__, runs)
+        return out, n
+
     def prepare(self) -> None:
         """Find the places; only texts over a limit need them."""
-        raw = self.raw
-        c = _CLASS[np.frombuffer(raw, np.uint8)]
-        blank = c == 0
-        runs = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-        run_of = np.maximum.accumulate(np.where(np.concatenate(([False], blank[1:] & ~blank[:-1])), np.arange(len(c)), 0))
+        t = self.text
+        end = len(t)
 
-        def before(offsets: list[int]) -> list[int]:
-            """Where the run of blanks ahead of each offset begins, if there is one."""
-            return [int(run_of[o - 1]) for o in offsets if o > 0 and blank[o - 1]]
-
-        def behind(offsets: list[int]) -> list[int]:
-            return [o for o in offsets if o < len(c) and blank[o]]
+        def before(o: int) -> int:
+            while o > 0 and t[o - 1].isspace():
+                o -= 1
+            return o
 
         found = [
-            before([m.start() for m in SECTION.finditer(raw)]),
-            [int(run_of[m.start()]) for m in PARAGRAPH.finditer(raw) if blank[m.start()]],
-            before([m.start() for m in FORMULA.finditer(raw)]) + behind([m.end() for m in FORMULA_END.finditer(raw)]),
-            [m.end() for m in SENTENCE.finditer(raw)],
+            [before(m.start()) for m in SECTION.finditer(t)],
+            [before(m.start()) for m in PARAGRAPH.finditer(t)],
+            [before(m.start()) for m in FORMULA.finditer(t)] + [o for m in FORMULA_END.finditer(t) if (o := m.end()) < end and t[o].isspace()],
+            [m.end() for m in SENTENCE.finditer(t)],
         ]
-        # within a word, classes of characters part the tokenizer's words, but for contractions
-        seams = (c[1:] != c[:-1]) & (c[1:] < 4) & (c[:-1] < 4) & ~blank[:-1] & (np.frombuffer(raw, np.uint8)[:-1] != 39)
-        self.kinds = [self.places(np.unique(np.array(f, np.int64))) for f in found] + [self.places(runs), self.places(np.flatnonzero(seams) + 1)]
-        self.words = self.kinds[-1]
-        self.recount = not self.text.isascii() and RARE_BLANK.search(self.text) is not None or any(x in raw for x in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
-
-    def places(self, offsets: np.ndarray) -> list[int]:
-        offsets = offsets[offsets > 0]
-        k = np.searchsorted(self.at, offsets)
-        return k[self.at[k] == offsets].tolist()
-
-    def slice(self, s: int, e: int) -> str:
-        return self.raw[self.at[s] : self.at[e]].decode("utf-8", "replace")
-
-    def whole(self, k: int) -> int:
-        """The place at or before k that cuts no character."""
-        while k > 0 and k < self.n and self.raw[self.at[k]] & 0xC0 == 0x80:
-            k -= 1
-        return k
+        self.kinds = []
+        for offsets in found:
+            kind = [k for o in offsets if self.at[k := bisect_left(self.at, o)] == o and self.place(k)]
+            kind.sort()
+            self.kinds.append(kind)
+
+    def place(self, k: int) -> bool:
+        """Does a run of blanks begin here?"""
+        return 0 < k < len(self.parts) and self.parts[k][0].isspace() and not self.parts[k - 1][-1].isspace()
+
+    def broken(self, s: int, e: int) -> bool:
+        """Is a word that is cut within among parts s to e?"""
+        k = bisect_left(self.inner, s)
+        return k < len(self.inner) and self.inner[k] <= e
+
+    def shared_start(self, e: int, overlap: int) -> tuple[int, int, int]:
+        """The last seam of words with overlap tokens or more up to e: (offset, tokens ahead of the next part, next part)."""
+        k = bisect_right(self.sum, self.sum[e] - overlap) - 1
+        if k < 0:
+            return 0, 0, 0
+        lack = overlap - (self.sum[e] - self.sum[k + 1])  # tokens wanted of part k
+        if self.sum[k] + overlap == self.sum[e] or self.broken(k, k + 1):
+            return self.at[k], 0, k
+        offset, head = self.at[k + 1], 0
+        for w in reversed(self.vocabulary.words(self.parts[k])):
+            offset, head = offset - len(w), head + self.vocabulary[w]
+            if head >= lack:
+                break
+        return offset, head, k + 1
 
     def pieces(self, limit: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start, end, tokens, tokens shared with the piece before)."""
+        """(start offset, end offset, tokens, tokens shared with the piece before)."""
         if self.n <= limit:
-            yield 0, self.n, self.n, 0
+            yield 0, len(self.text), self.n, 0
             return
         if self.kinds is None:
             self.prepare()
-        s, done, clean = 0, 0, True
-        while done < self.n:
-            e, known = min(s + limit, self.n), True
-            if e < self.n:
+        last, done = len(self.parts), 0
+        x, head, s = 0, 0, 0  # the piece begins at offset x, with head tokens ahead of part s
+        while done < last:
+            e = bisect_right(self.sum, self.sum[s] + limit - head) - 1
+            if e < last:
                 for kind in self.kinds:
                     k = bisect_right(kind, e) - 1
                     if k >= 0 and kind[k] > done:
                         e = kind[k]
                         break
-                else:  # a word over the limit: cut it between characters
-                    e, known = self.whole(e), False
-                    if e <= done:
-                        e = next((k for k in range(done + 1, self.n) if self.whole(k) == k), self.n)
-            size = e - s
-            if not (known and clean) or self.recount:
-                size = self.vocabulary.count(self.slice(s, e))
-                while size > limit and (k := self.whole(e - max(1, (size - limit) // 2))) > done:
-                    e, known = k, False
-                    size = self.vocabulary.count(self.slice(s, e))
-                while size > limit and s < done:  # give up overlap rather than the limit
-                    s = next((k for k in range(s + 1, done) if self.whole(k) == k), done)
-                    size = self.vocabulary.count(self.slice(s, e))
-            yield s, e, size, done - s
-            done, clean, s = e, known, e
-            if overlap and e < self.n:
-                k = bisect_right(self.words, e - overlap) - 1
-                if k >= 0 and e - self.words[k] <= 2 * overlap:
-                    s = self.words[k]
                 else:
-                    s, clean = self.whole(max(e - overlap, 0)), False
+                    k = e
+                    while k > done and not self.place(k):
+                        k -= 1
+                    e = k if k > done else max(e, done + 1)
+            size = head + self.sum[e] - self.sum[s]
+            # not cut at blanks: what is next to the cut may be encoded otherwise
+            if size > limit or (e < last and not self.place(e)) or self.inner and self.broken(s, e):
+                size = self.vocabulary.count(self.text[x : self.at[e]])
+                while size > limit and e > done + 1:
+                    e -= 1
+                    size = self.vocabulary.count(self.text[x : self.at[e]])
+                while size > limit and x < self.at[done]:  # give up overlap rather than the limit
+                    x, head, s = (self.at[s + 1], 0, s + 1) if not head else (self.at[s], 0, s)
+                    size = self.vocabulary.count(self.text[x : self.at[e]])
+            yield x, self.at[e], size, head + self.sum[done] - self.sum[s] if x < self.at[done] else 0
+            done = e
+            x, head, s = self.shared_start(e, overlap) if overlap and e < last else (self.at[e], 0, e)
 
 
 SCHEMA = "profile string, doc_id long, piece_no int, start_char int, end_char int, n_tokens int, overlap_tokens int, piece_text string"
@@ -152,21 +166,19 @@ def split_documents(documents: DataFrame, profiles: DataFrame, vocabulary: str =
         if not 0 <= overlap < limit:
             raise ValueError(f"profile {p}: overlap_tokens must be at least 0 and below max_tokens")
 
+    long_word = min([LONG_WORD, *(max(1, (limit - overlap) // 2) for _, limit, overlap in plans)])
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.load(vocabulary)
         for b in batches:
             rows, size = [], 0
             for i, t in zip(b.column(0), b.column(1)):
                 text, i = t.as_py(), i.as_py()
-                doc, plain = Text(text, known), text.isascii()
+                doc = Text(text, known, long_word)
                 for name, limit, overlap in plans:
-                    x = end = 0
-                    for k, (s, e, n, shared) in enumerate(doc.pieces(limit, overlap), 1):
-                        piece = doc.slice(s, e)
-                        x = int(doc.at[s]) if plain else end - len(doc.slice(s, s + shared))
-                        end = x + len(piece)
-                        rows.append((name, i, k, x, end, n, shared, piece))
-                        size += end - x
+                    for k, (x, y, n, shared) in enumerate(doc.pieces(limit, overlap), 1):
+                        rows.append((name, i, k, x, y, n, shared, text[x:y]))
+                        size += y - x
                         if size > BATCH_CHARACTERS:
                             yield batch(rows)
                             rows, size = [], 0
