@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import chunking, leakage, mixing
+from pyspark.sql import functions as F
+
+from kinfold.llm import chunking, components, leakage, lookalike, mixing
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
+    uk = lookalike.canonical_form(
+        read(spark, sf, "uk_register"), "company_number", {"uk_register.legal_name": "legal_name", "uk_register.legal_name_translit": "legal_name_translit"}
+    )
+    return uk.unionByName(lookalike.canonical_form(read(spark, sf, "party_aliases"), "alias_key", {"party_aliases.name": "name"}))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.lookalike_pairs(p4_forms(spark, sf))
+
+
+def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_forms(spark, sf).select("field_name", "key", "value", "canonical")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    linking = F.expr("score >= 0.85 and not isnan(score)")
+    return components.groups(read(spark, sf, "match_pairs"), "name_a", "name_b", linking)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(read(spark, sf, "documents"), read(spark, sf, "eval_items"))
 
@@ -27,5 +49,42 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_documents(read(spark, sf, "documents"), read(spark, sf, "chunk_profiles"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
-SQL: dict[str, str] = {}
+QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _look_sql(c: str) -> str:
+    one, several, unseen = lookalike.maps()
+    out = f"translate({c}, {_text(''.join(one) + unseen)}, {_text(''.join(one.values()))})"
+    # blanks of ASCII are in the map; letters that stand for several are replaced one after the other
+    for x, y in several.items():
+        if x in SEVERAL_IN_DATA:
+            out = f"replace({out}, {_text(x)}, {_text(y)})"
+    return f"nfc_normalize({out})"
+
+
+#: The SQL spells out only those of the characters that stand for several.
+SEVERAL_IN_DATA = "ﬀﬁﬂﬃﬄⅡⅢⅣⅥⅦⅧⅨⅪⅫ"
+_P4_VALUES = f"""
+WITH v AS (SELECT 'uk_register.legal_name' AS field_name, company_number AS key, legal_name AS value FROM uk_register
+  UNION ALL SELECT 'uk_register.legal_name_translit', company_number, legal_name_translit FROM uk_register
+  UNION ALL SELECT 'party_aliases.name', alias_key, name FROM party_aliases),
+l AS (SELECT DISTINCT field_name, key, value, {_look_sql('value')} AS look FROM v WHERE value IS NOT NULL AND key IS NOT NULL)
+"""
+_P6 = """
+WITH RECURSIVE l AS (SELECT DISTINCT name_a AS a, name_b AS b FROM match_pairs
+  WHERE name_a IS NOT NULL AND name_b IS NOT NULL AND score >= 0.85 AND NOT isnan(score)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+n AS (SELECT DISTINCT x AS name FROM (SELECT name_a AS x FROM match_pairs UNION ALL SELECT name_b FROM match_pairs) t WHERE x IS NOT NULL),
+r AS (SELECT name, name AS seen FROM n UNION SELECT r.name, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT min(seen) AS group_name, name FROM r GROUP BY name
+"""
+SQL: dict[str, str] = {
+    "p4_found": _P4_VALUES
+    + """SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM l a JOIN l b
+    ON a.field_name = b.field_name AND a.look = b.look AND a.key < b.key AND a.value <> b.value""",
+    "p6_found": _P6,
+}
