@@ -52,7 +52,7 @@ def shuffled_blocks(sizes: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: in
     ahead = by_range.selectExpr(
         "source", "r", "sum(t) over (partition by source order by r) - t as before", "sum(t) over (partition by source) as total"
     )
-    placed = h.join(F.broadcast(ahead), ["source", "r"]).selectExpr(
+    placed = h.join(ahead, ["source", "r"]).selectExpr(
         "source", "doc_id", "n_tokens", "total",
         "before + sum(n_tokens) over (partition by source, r order by h, doc_id, n_tokens rows unbounded preceding) - n_tokens as start",
     )
@@ -75,7 +75,7 @@ def schedule(planned: list[dict], spark) -> DataFrame:
             source = F.coalesce(source, F.when((F.col("point") < upto) if k < len(rows) - 1 else F.lit(True), F.lit(k)))
         s = spark.range(slots).withColumn("point", F.expr(f"(id * {GOLDEN!r}D) % 1D")).select("id", source.alias("k")).withColumn("c", F.expr(f"id div {SLOT_RANGE}"))
         sums = s.groupBy("k", "c").count().selectExpr("k", "c", "sum(count) over (partition by k order by c) - count as before")
-        ranked = s.join(F.broadcast(sums), ["k", "c"]).selectExpr("k", "id", "before + row_number() over (partition by k, c order by id) - 1 as rank")
+        ranked = s.join(sums, ["k", "c"]).selectExpr("k", "id", "before + row_number() over (partition by k, c order by id) - 1 as rank")
         facts = F.create_map(*[x for k, p in enumerate(rows) for x in (F.lit(k), F.struct(F.lit(p["source"]).alias("source"), F.lit(p["blocks"]).alias("n"), F.lit(p["max_repeats"]).alias("m")))])
         ranked = ranked.withColumn("f", facts[F.col("k")])
         out = out.unionByName(
