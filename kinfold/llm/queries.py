@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from kinfold.llm import chunking, components, leakage, lookalike, mixing
+from kinfold.llm import chunking, components, leakage, lookalike, mixing, spelling
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    typed = read(spark, sf, "name_records").selectExpr("record_id as key", "name", "false as trusted")
+    register = read(spark, sf, "gleif").selectExpr("lei as key", "legal_name as name", "true as trusted")
+    return spelling.same_entity(typed.unionByName(register))
+
+
 def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     uk = lookalike.canonical_form(
         read(spark, sf, "uk_register"), "company_number", {"uk_register.legal_name": "legal_name", "uk_register.legal_name_translit": "legal_name_translit"}
@@ -49,7 +55,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_documents(read(spark, sf, "documents"), read(spark, sf, "chunk_profiles"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 
 
 def _text(s: str) -> str:
