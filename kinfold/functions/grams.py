@@ -43,8 +43,11 @@ def coefficients(permutations: int, seed: int = 0) -> list[tuple[int, int]]:
 def minhash(grams: Column, permutations: int, seed: int = 0) -> Column:
     """Signature of a gram set as an expression; of an empty set all PRIME. For big tables take signature()."""
     hashes = F.transform(grams, gram_hash)
-    each = [F.coalesce(F.array_min(F.transform(hashes, lambda h, a=a, b=b: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME))), F.lit(PRIME).cast("long")) for a, b in coefficients(permutations, seed)]
-    return F.array(*each)
+
+    def least(a: int, b: int) -> Column:
+        return F.coalesce(F.array_min(F.transform(hashes, lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME))), F.lit(PRIME).cast("long"))
+
+    return F.array(*[least(a, b) for a, b in coefficients(permutations, seed)])
 
 
 class Signer:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.plans import preparation
+from kinfold.plans import names, preparation
 
-QUERIES = {**preparation.QUERIES}
-SQL = {**preparation.SQL}
+QUERIES = {**names.QUERIES, **preparation.QUERIES}
+SQL = {**names.SQL, **preparation.SQL}
