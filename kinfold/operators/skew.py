@@ -50,20 +50,19 @@ def lower_median_rows(df: DataFrame, keys: list[str], order: list[str], share: f
 def _light(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One shuffle on the key: a light key's distinct rows fit an array, since its share of all rows is bounded."""
     item: Column = F.struct(*order)
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("a"))
-    return got.select(*keys, F.expr("element_at(a, cast((size(a) + 1) div 2 as int))").alias("m")).select(*keys, "m.*")
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("__a"))
+    return got.select(*keys, F.expr("element_at(__a, cast((size(__a) + 1) div 2 as int))").alias("__m")).select(*keys, "__m.*")
 
 
 def _heavy(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Distinct rows sorted by range over all tasks; counts by key and task tell where the wanted row lies."""
-    spark = rows.sparkSession
-    n = max(2, tasks(spark))
-    ranged = rows.groupBy("__h", *keys, *order).agg(F.lit(1).alias("one")).drop("one").repartitionByRange(n, "__h", *keys, *order)
+    quoted, by = [f"`{k}`" for k in keys], ", ".join(f"`{k}`" for k in keys)
+    n = max(2, tasks(rows.sparkSession))
+    ranged = rows.groupBy("__h", *quoted, *order).agg(F.lit(1).alias("__one")).drop("__one").repartitionByRange(n, "__h", *quoted, *order)
     placed = cut(ranged.withColumn("__p", F.spark_partition_id()))
-    counts = placed.groupBy(*keys, "__p").agg(F.count("*").alias("n"))  # at most heavy keys + tasks rows: ranges of sorted keys
-    w = "partition by {k} order by __p".format(k=", ".join(f"`{k}`" for k in keys))
-    at = counts.selectExpr("*", f"sum(n) over ({w}) as upto", f"(sum(n) over (partition by {', '.join(f'`{k}`' for k in keys)}) + 1) div 2 as nth")
-    at = at.where("nth <= upto and nth > upto - n").selectExpr(*[f"`{k}`" for k in keys], "__p", "nth - (upto - n) as k")
+    counts = placed.groupBy(*quoted, "__p").agg(F.count("*").alias("__n"))  # at most heavy keys + tasks rows: ranges of sorted keys
+    at = counts.selectExpr("*", f"sum(__n) over (partition by {by} order by __p) as __upto", f"(sum(__n) over (partition by {by}) + 1) div 2 as __nth")
+    at = at.where("__nth <= __upto and __nth > __upto - __n").selectExpr(*quoted, "__p", "__nth - (__upto - __n) as __k")
     hit = placed.join(F.broadcast(at), [*keys, "__p"])  # one row per heavy key
-    inside = f"partition by {', '.join(f'`{k}`' for k in keys)} order by {', '.join(f'`{o}`' for o in order)}"
-    return hit.selectExpr("*", f"row_number() over ({inside}) as rn").where("rn = k").select(*keys, *order)
+    inside = f"partition by {by} order by {', '.join(f'`{o}`' for o in order)}"
+    return hit.selectExpr("*", f"row_number() over ({inside}) as __rn").where("__rn = __k").select(*quoted, *order)
