@@ -3,7 +3,8 @@
 Characters are mapped by what they look like: forms by width or joining to the plain letters, blanks of any kind to a
 space, look-alike letters of other scripts to the Latin ones; characters without ink are dropped. Mapped values are then
 grouped in SQL under the Unicode collation that tells accents and case apart (and takes composed and combining accents as
-equal). Each class gets one canonical member, the plainest and then smallest by code points, which is joined back.
+equal). Each class gets one canonical member, one that is its own mapped form if there is
+one, else that of fewest bytes, then the smallest by code points, which is joined back.
 
 Case, accents, spelling and digit against letter stay different. Null values have no form; a value without ink is its own
 class with all such values. Repeated rows keep their form each; other columns are not looked at.
@@ -87,7 +88,7 @@ def canonical_values(values: DataFrame) -> DataFrame:
     """For distinct (field_name, value): (field_name, value, canonical, spellings of the class)."""
     mapped = cut(values.where("value is not null").select("field_name", "value").distinct().withColumn("look", looks(F.col("value"))))
     look = F.collate("look", "UNICODE")
-    plainest = F.min_by("value", F.struct(F.levenshtein("value", "look"), F.length("value"), "value"))
+    plainest = F.min_by("value", F.struct(F.col("value") != F.col("look"), F.octet_length("value"), "value"))
     classes = mapped.groupBy("field_name", look.alias("class")).agg(plainest.alias("canonical"), F.count("*").alias("spellings"))
     m = mapped.withColumn("class", look).alias("m")
     return m.join(classes.alias("c"), ["field_name", "class"]).select("field_name", "value", "canonical", "spellings")
