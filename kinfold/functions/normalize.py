@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 
 from kinfold.rules import ATOMIC_LETTERS, COMPOUND_DESCRIPTORS, COMPOUND_FORMS, DESCRIPTORS, DROPPED_CHARACTERS, HEAD_FORMS, LEGAL_FORMS, phrases
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once and standing once in the plan, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 NON_ASCII = r"[^\x00-\x7f]"
 
 
@@ -40,11 +45,18 @@ def decompositions() -> tuple[dict[str, str], dict[str, str]]:
 def fold_unicode(name: Column) -> Column:
     """Letters without marks, compatibility forms opened. ASCII names are left alone."""
     one, several = decompositions()
-    # a mark that stands alone is dropped; a precomposed letter whose base is none of ours ends as a blank anyway
-    mapped = F.translate(F.regexp_replace(name, r"\p{M}+", ""), "".join(one), "".join(one.values()))
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    each = F.array_join(F.transform(F.split(mapped, ""), lambda c: F.coalesce(table[c], c)), "")
-    return F.when(F.regexp_like(name, F.lit(NON_ASCII)), F.when(F.regexp_like(mapped, F.lit(NON_ASCII)), each).otherwise(mapped)).otherwise(name)
+
+    def each(m: Column) -> Column:
+        opened = F.array_join(F.transform(F.split(m, ""), lambda c: F.coalesce(table[c], c)), "")
+        return F.when(F.regexp_like(m, F.lit(NON_ASCII)), opened).otherwise(m)
+
+    def fold(n: Column) -> Column:
+        # a mark that stands alone is dropped; a precomposed letter whose base is none of ours ends as a blank anyway
+        mapped = F.translate(F.regexp_replace(n, r"\p{M}+", ""), "".join(one), "".join(one.values()))
+        return F.when(F.regexp_like(n, F.lit(NON_ASCII)), let(mapped, each)).otherwise(n)
+
+    return let(name, fold)
 
 
 def _tokens(s: Column, table: dict[str, list[str]]) -> Column:
@@ -58,7 +70,7 @@ def _tokens(s: Column, table: dict[str, list[str]]) -> Column:
 def _phrases(s: Column, table: dict[str, list[str]]) -> Column:
     """Only names with a first word of a phrase pay for the pass."""
     first = "|".join(sorted({p.split()[0] for p in phrases(table)}))
-    return F.when(F.regexp_like(s, F.lit(rf"\b(?:{first}) ")), F.array_join(_tokens(s, table), " ")).otherwise(s)
+    return let(s, lambda x: F.when(F.regexp_like(x, F.lit(rf"\b(?:{first}) ")), F.array_join(_tokens(x, table), " ")).otherwise(x))
 
 
 def normalize_name(name: Column | str) -> Column:

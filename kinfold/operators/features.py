@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.grams import distinct_ngrams, ngrams
-from kinfold.functions.normalize import comparison_form, normalize_name, truncate_bytes
+from kinfold.functions.normalize import comparison_form, let, normalize_name, truncate_bytes
 
 
 def alias_table(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -23,7 +23,7 @@ def with_norm(df: DataFrame, name_col: str, norm_col: str, max_name_length: int
         raise TypeError(f"{name_col} must be a string column")
     raw = F.col(f"`{name_col}`")
     norm = normalize_name(truncate_bytes(raw, max_name_length) if max_name_length else raw)
-    out = df.withColumn(norm_col, F.nullif(norm, F.lit("")))
+    out = df.withColumn(norm_col, let(norm, lambda n: F.when(n != "", n)))
     if aliases:
         known = alias_table(df, aliases).withColumnsRenamed({"alias_norm": "__alias", "canon_norm": "__canon"})
         # the caller's dictionary, which the driver holds already
@@ -33,9 +33,11 @@ def with_norm(df: DataFrame, name_col: str, norm_col: str, max_name_length: int
 
 def unique_names(rows: DataFrame, norm_col: str, name_col: str, row_col: str, block: Column) -> DataFrame:
     """(id, block, norm, form, first_raw, n_rows) per distinct name of a block; id is the first row's number."""
-    got = rows.where(F.col(norm_col).isNotNull()).groupBy(block.alias("block"), F.col(norm_col).alias("norm")).agg(
-        F.min(row_col).alias("id"), F.min_by(F.col(f"`{name_col}`"), row_col).alias("first_raw"), F.count("*").alias("n_rows")
+    got = rows.groupBy(block.alias("block"), F.col(norm_col).alias("norm")).agg(
+        F.min(row_col).alias("id"), F.min_by(F.col(f"`{name_col}`"), row_col).alias("first_raw"), F.count(norm_col).alias("n_rows")
     )
+    # on a count, not on the name: a filter on it would be pushed below and normalize every name a second time
+    got = got.where("n_rows > 0")
     return got.select("id", "block", "norm", comparison_form("norm").alias("form"), "first_raw", "n_rows")
 
 

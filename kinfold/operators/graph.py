@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +15,47 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("a as src", "b as dst").unionByName(edges.selectExpr("b as src", "a as dst")).where("src <> dst").distinct()
 
 
+#: A spanning forest of at most so many nodes is finished by one task; a larger one by rounds over all tasks.
+FOREST_NODES = 2_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition to its stars: every node with the smallest node it is connected with."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = parent.setdefault(x, x)
+        while top != parent[top]:
+            top = parent[top]
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = [x for x in parent if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([parent[x] for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of all nodes with an edge; component is the smallest node of it.
 
-    Large-star and small-star rounds, which group by node, so no task gathers a component; every round is a table."""
-    state = cut(edges.selectExpr("least(a, b) as u", "greatest(a, b) as v").where("u <> v").distinct())
+    Every task keeps a spanning forest of its edges. If the forests together are small, one task joins them; else rounds of
+    large-star and small-star do, which group by node, so no task gathers a component. Every step is a table."""
+    pairs = edges.selectExpr("cast(least(a, b) as long) as u", "cast(greatest(a, b) as long) as v").where("u <> v")
+    state = cut(pairs.mapInArrow(_forest, "u long, v long"))
+    if state.count() <= FOREST_NODES:
+        new = cut(state.coalesce(1).mapInArrow(_forest, "u long, v long"))
+        release(state)
+    else:
+        new = _stars(state)
+    return new.selectExpr("v as id", "u as component").unionByName(new.selectExpr("u as id", "u as component").distinct())
+
+
+def _stars(state: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = state.unionByName(state.selectExpr("v as u", "u as v"))
@@ -29,7 +68,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = new
         now = new.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))"), F.count_distinct("v")).head()
         if now == seen and now[0] == now[2]:
-            return new.selectExpr("v as id", "u as component").unionByName(new.selectExpr("u as id", "u as component").distinct())
+            return new
         seen = now
 
 
@@ -41,15 +80,13 @@ def hub_of(order: str = "struct(-degree, norm)") -> F.Column:
     return F.expr(f"min_by(id, {order})")
 
 
-def reach(start: DataFrame, ways: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """From start (piece, id), over the whole graph: ((piece, id, distance) up to radius, pieces that reach further)."""
-    seen = frontier = start.select("piece", "id").withColumn("distance", F.lit(0))
-    for d in range(1, radius + 2):
-        ahead = frontier.join(ways, F.col("id") == F.col("src")).select("piece", F.col("dst").alias("id")).distinct()
-        frontier = cut(ahead.join(seen, ["piece", "id"], "left_anti").withColumn("distance", F.lit(d)))
-        if d <= radius:
-            seen = seen.unionByName(frontier)
-    return seen, frontier.select("piece").distinct()
+def reach(start: DataFrame, ways: DataFrame, radius: int) -> DataFrame:
+    """(piece, id): all nodes within radius of start (piece, id), over the whole graph."""
+    seen = frontier = start.select("piece", "id")
+    for _ in range(radius):
+        frontier = frontier.join(ways, F.col("id") == F.col("src")).select("piece", F.col("dst").alias("id")).distinct()
+        seen = seen.unionByName(frontier)
+    return seen.distinct()
 
 
 def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -73,23 +110,23 @@ def split_wide(nodes: DataFrame, edges: DataFrame, radius_max: int = 2, min_size
     is looked at again. Degrees and distances are those of the whole graph. All by joins: a wide component is never
     gathered in a task."""
     ways = cut(both_ways(edges))
-    work = cut(nodes.selectExpr("id", "component as piece", "norm", "degree", "false as flagged"))
+    whole = nodes.groupBy("component").agg(F.count("*").alias("whole"))
+    work = nodes.join(whole, "component").selectExpr("id", "component as piece", "norm", "degree", "whole", "false as flagged")
     final = None
-    add = lambda x: x if final is None else final.unionByName(x)
     while True:
-        sizes = work.groupBy("piece").agg(F.count("*").alias("n"), hub_of().alias("hub"))
-        big = cut(sizes.where(F.col("n") >= min_size))
-        if big.isEmpty():
-            return add(work.select("id", "piece", "flagged"))
-        near, wide = reach(big.selectExpr("piece", "hub as id"), ways, radius_max)
-        wide = cut(wide)
+        big = work.groupBy("piece").agg(F.count("*").alias("n"), hub_of().alias("id"), F.min("whole").alias("whole")).where(F.col("n") >= min_size)
+        near = cut(reach(big, ways, radius_max))
+        # all that the hub reaches is its whole component: it is wide if that is more than the near nodes
+        wide = cut(near.groupBy("piece").agg(F.count("*").alias("near")).join(big, "piece").where("near < whole").select("piece"))
+        rest = work.select("id", "piece", "flagged")
         if wide.isEmpty():
-            return add(work.select("id", "piece", "flagged"))
-        final = add(work.join(wide, "piece", "left_anti").select("id", "piece", "flagged"))
-        marked = cut(work.join(wide, "piece", "left_semi").join(near, ["piece", "id"], "left"))
-        final = final.unionByName(marked.where("distance is not null").select("id", "piece", F.lit(True).alias("flagged")))
-        far = cut(marked.where("distance is null").select("id", "piece", "norm", "degree"))
+            return rest if final is None else final.unionByName(rest)
+        done = rest.join(wide, "piece", "left_anti")
+        marked = cut(work.join(wide, "piece", "left_semi").join(near.withColumn("near", F.lit(True)), ["piece", "id"], "left"))
+        done = done.unionByName(marked.where("near").select("id", "piece", F.lit(True).alias("flagged")))
+        final = done if final is None else final.unionByName(done)
+        far = marked.where("near is null").select("id", "piece", "norm", "degree", "whole")
         inside = ways.where("src < dst").join(far.selectExpr("id as src", "piece"), "src").join(far.selectExpr("id as dst", "piece as other"), "dst")
         parts = connected_components(inside.where("piece = other").selectExpr("src as a", "dst as b"))
         # a piece is named by its smallest node; the near piece keeps its name, which may be a far node's
-        work = cut(far.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("p"), "norm", "degree").selectExpr("id", "-1 - p as piece", "norm", "degree", "true as flagged"))
+        work = cut(far.join(parts, "id", "left").selectExpr("id", "-1 - coalesce(component, id) as piece", "norm", "degree", "whole", "true as flagged"))

@@ -65,3 +65,11 @@ def test_distances(spark):
     e = edges(spark, [(0, 1), (1, 2), (2, 3), (8, 9)])
     start = spark.createDataFrame([(0, 0)], "piece long, id long")
     assert {(r.id, r.distance) for r in graph.distances(e, start).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_rounds_give_the_same_as_one_task(spark, monkeypatch):
+    r = random.Random(9)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)]
+    monkeypatch.setattr(graph, "FOREST_NODES", 10)
+    got = {x.id: x.component for x in graph.connected_components(edges(spark, pairs).repartition(5)).collect()}
+    assert got == brute_components(pairs)
