@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.grams import ngrams
+from kinfold.functions.normalize import let
 from kinfold.operators.blocking import gramless_pairs, lsh_buckets, lsh_pairs
 from kinfold.operators.features import tfidf_vectors
 from kinfold.session import cut, release
@@ -16,8 +17,11 @@ DIGITS = 6
 
 def dot(a: str, b: str):
     """Sum over the entries of vector a, in their order, so it is the same in every run."""
-    other = F.map_from_entries(b)
-    return F.aggregate(F.transform(a, lambda e: e["w"] * F.coalesce(F.try_element_at(other, e["gram"]), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    # the map is built once per pair, not once per entry
+    return let(
+        F.map_from_entries(b),
+        lambda other: F.aggregate(F.col(a), F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(other, e["gram"]), F.lit(0.0))),
+    )
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
