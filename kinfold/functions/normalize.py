@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 from kinfold.rules import ATOMIC_LETTERS, COMPOUND_DESCRIPTORS, COMPOUND_FORMS, DESCRIPTORS, DROPPED_CHARACTERS, HEAD_FORMS, LEGAL_FORMS, phrases
 
+def constant_map(table: dict[str, str]) -> Column:
+    """A map of strings as two constants: few calls to build, and folded to a literal by the optimizer."""
+    both = ["\x1f".join(x) for x in (table, table.values())]
+    return F.map_from_arrays(*[F.split(F.lit(x), "\x1f") for x in both])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once and standing once in the plan, however often body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -45,11 +51,11 @@ def decompositions() -> tuple[dict[str, str], dict[str, str]]:
 def fold_unicode(name: Column) -> Column:
     """Letters without marks, compatibility forms opened. ASCII names are left alone."""
     one, several = decompositions()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table, any_of = constant_map(several), "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
 
     def each(m: Column) -> Column:
         opened = F.array_join(F.transform(F.split(m, ""), lambda c: F.coalesce(table[c], c)), "")
-        return F.when(F.regexp_like(m, F.lit(NON_ASCII)), opened).otherwise(m)
+        return F.when(F.regexp_like(m, F.lit(any_of)), opened).otherwise(m)
 
     def fold(n: Column) -> Column:
         # a mark that stands alone is dropped; a precomposed letter whose base is none of ours ends as a blank anyway
@@ -63,7 +69,7 @@ def _tokens(s: Column, table: dict[str, list[str]]) -> Column:
     """Words and the table's phrases, replaced, in one pass from left to right."""
     names = phrases(table)
     pattern = "(?:" + "|".join(f"{p} " for p in names) + "|[^ ]+ )"
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    lookup = constant_map(names)
     return F.transform(F.regexp_extract_all(F.concat(s, F.lit(" ")), F.lit(pattern), F.lit(0)), lambda t: F.coalesce(lookup[F.rtrim(t)], F.rtrim(t)))
 
 
