@@ -18,6 +18,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.normalize import constant_map, let
 from kinfold.session import cut
 
 # Fixed values, from Unicode's table of confusable characters: letters drawn like Latin ones, and the Latin ones.
@@ -76,11 +77,13 @@ def maps() -> tuple[dict[str, str], dict[str, str], str]:
 def looks(text: Column) -> Column:
     """The text with every character mapped by its look. Texts of printable ASCII are left alone."""
     one, several, unseen = maps()
-    mapped = F.translate(text, "".join(one) + unseen, "".join(one.values()))
-    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    each = F.array_join(F.transform(F.split(mapped, ""), lambda c: F.coalesce(table[c], c)), "")
-    mapped = F.when(F.regexp_like(mapped, F.lit(pattern)), each).otherwise(mapped)
+    table = constant_map(several)
+
+    def opened(m: Column) -> Column:
+        each = F.array_join(F.transform(F.split(m, ""), lambda c: F.coalesce(table[c], c)), "")
+        return F.when(F.translate(m, "".join(several), "") != m, each).otherwise(m)
+
+    mapped = let(F.translate(text, "".join(one) + unseen, "".join(one.values())), opened)
     return F.when(F.regexp_like(text, F.lit(r"[^\x20-\x7e]")), mapped).otherwise(text)
 
 
