@@ -36,15 +36,16 @@ def dense_ids(canonicals: DataFrame) -> DataFrame:
 
 
 def cluster_names_table(uniques: DataFrame, edges: DataFrame, hub_radius_max: int = 2, diameter_check_min_size: int = 5) -> DataFrame:
-    """(block, norm, cluster_id, canonical_name, flagged) from unique names and scored edges."""
+    """(block, norm, cluster_id, canonical_name, flagged, cluster_size) from unique names and scored edges."""
     nodes = graph.connected_components(edges).join(graph.degrees(edges), "id").join(uniques.select("id", "norm", "block"), "id")
     nodes = cut(nodes)
     pieces = cut(graph.split_wide(nodes, edges, hub_radius_max, diameter_check_min_size).join(nodes.select("id", "norm", "degree", "block"), "id"))
     hubs = pieces.groupBy("piece").agg(F.expr("min_by(norm, struct(-degree, norm))").alias("canonical"))
     linked = pieces.join(hubs, "piece").select("id", "canonical", "flagged")
     named = cut(uniques.join(linked, "id", "left").select("block", "norm", F.coalesce("canonical", "norm").alias("canonical"), F.coalesce("flagged", F.lit(False)).alias("flagged")))
-    ids = dense_ids(named.select("block", "canonical").distinct())
-    return named.join(ids, ["block", "canonical"]).select("block", "norm", "cluster_id", F.col("canonical").alias("canonical_name"), "flagged")
+    sizes = named.groupBy("block", "canonical").agg(F.count("*").alias("cluster_size"))
+    ids = dense_ids(named.select("block", "canonical").distinct()).join(sizes, ["block", "canonical"])
+    return named.join(ids, ["block", "canonical"]).select("block", "norm", "cluster_id", F.col("canonical").alias("canonical_name"), "flagged", "cluster_size")
 
 
 def cluster(
@@ -54,7 +55,7 @@ def cluster(
 ) -> DataFrame:
     """df with cluster_id (0, 1, ... in order of canonical names; within each block if block_col is given) and canonical_name,
     the normalized name with most neighbours; both null where the name is null or normalizes to nothing, or its block is
-    null. Columns of these names are replaced. diagnostics adds flagged: the cluster comes from a split component.
+    null. Columns of these names are replaced. diagnostics adds flagged (the cluster comes from a split component), cluster_size (its unique names) and normalized_name.
 
     blocking 'exact' scores all pairs that share a gram instead of LSH's candidates; for small tables."""
     rows = _prepared(df, name_col, order_col, block_col, max_name_length, aliases)
@@ -66,9 +67,9 @@ def cluster(
         edges = scored_candidates(uniques, threshold, ngram_size, lsh_bands, lsh_rows, seed)
     found = cluster_names_table(uniques, edges, hub_radius_max, diameter_check_min_size)
     found = found.withColumnsRenamed({"block": _BLOCK, "norm": _NORM})
-    added = ["cluster_id", "canonical_name", *(["flagged"] if diagnostics else [])]
+    added = ["cluster_id", "canonical_name", *(["flagged", "cluster_size", "normalized_name"] if diagnostics else [])]
     kept = [c for c in df.columns if c not in added]
-    joined = rows.drop(*added).join(found, [_BLOCK, _NORM], "left")
+    joined = rows.drop(*added).join(found, [_BLOCK, _NORM], "left").withColumn("normalized_name", F.col(_NORM))
     return joined.select(*[f"`{c}`" for c in kept], *added)
 
 

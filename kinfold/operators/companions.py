@@ -95,8 +95,9 @@ def score_clusters(df: DataFrame, predicted: str, true: str) -> DataFrame:
     pairs = lambda c: F.coalesce(F.sum((F.col(c).cast("double") * (F.col(c) - 1)) / 2), F.lit(0.0))
     both = cells.agg(pairs("n").alias("both"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"))
     side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs("n").alias(f"{c}_pairs"), F.count("*").alias(f"{c}_n"))
-    one = both.crossJoin(side("p")).crossJoin(side("t"))  # of one row each
-    one = one.selectExpr("*", "n_items * (n_items - 1D) / 2 as every")
+    # three rows with different columns, laid over each other
+    every = both.unionByName(side("p"), True).unionByName(side("t"), True)
+    one = every.agg(*[F.max(c).alias(c) for c in every.columns]).selectExpr("*", "n_items * (n_items - 1D) / 2 as every")
     one = one.selectExpr("*", "if(p_pairs = 0, 1D, both / p_pairs) as precision", "if(t_pairs = 0, 1D, both / t_pairs) as recall", "if(every = 0, 0D, p_pairs * t_pairs / every) as expected", "(p_pairs + t_pairs) / 2 as most")
     return one.selectExpr(
         "case when n_items < 2 or every = 0 then 1D when most = expected then if(both = expected, 1D, 0D) else (both - expected) / (most - expected) end as adjusted_rand",

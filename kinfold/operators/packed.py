@@ -77,11 +77,11 @@ def with_dialect(texts: DataFrame, text: str = "text") -> DataFrame:
     cands = cut(distinct.select("text", F.explode(candidates(F.col("text"))).alias("c")).select("text", "c.*"))
     values = cands.select("text", "dialect", "bits", F.explode_outer("parts").alias("value"))
     counts = values.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    codes = counts.crossJoin(F.broadcast(total)).select(  # one row
+    total = cands.agg(F.sum(F.size("parts"))).head()[0] or 1
+    codes = counts.select(
         "value",
         # a value costs its code, but never less than telling apart a value seen once from one spelled out
-        F.least(F.log2(F.col("total") / F.col("n")), F.lit(2.0) + BITS_OF_A_CHARACTER * F.length("value")).alias("code"),
+        F.least(F.log2(F.lit(float(total)) / F.col("n")), F.lit(2.0) + BITS_OF_A_CHARACTER * F.length("value")).alias("code"),
     )
     scored = (
         values.join(codes, "value", "left")

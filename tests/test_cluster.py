@@ -154,3 +154,9 @@ def test_generated_names_are_found_again(spark):
         with pytest.raises(ValueError):
             generate.generate_examples(spark, 3, **bad)
     assert generate.generate_examples(spark, 120, difficulty="hard").select("true_canonical").distinct().count() == 120
+
+
+def test_diagnostics(spark):
+    rows = {r.pos: r for r in cluster(frame(spark), order_col="pos", threshold=0.4, diagnostics=True).collect()}
+    assert rows[0].normalized_name == "ibm" and rows[0].cluster_size == 1 and not rows[0].flagged
+    assert rows[4].cluster_size == 2 and rows[6].cluster_size is None
