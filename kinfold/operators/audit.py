@@ -71,6 +71,17 @@ def evenly_spaced(df: DataFrame, order_col: str, k: int = 20) -> DataFrame:
     return numbered.where((row % step == 0) & (row < step * k)).drop("__m", "__p", "__before")
 
 
+def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n rows by a hash of their keys and the seed: the same rows in every run. Tasks keep their own best n, no more."""
+    order = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in keys]).cast("binary"))
+    return df.orderBy(order, *[f"`{k}`" for k in keys]).limit(n)
+
+
+def partition_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values that aren't null, in order."""
+    return df.where(F.col(f"`{column}`").isNotNull()).select(f"`{column}`").distinct().orderBy(f"`{column}`")
+
+
 def score_buckets(pairs: DataFrame, min_score: float = 0.3, max_score: float = 1.0, buckets: int = 7) -> DataFrame:
     """pairs with score in [min_score, max_score) and bucket, the lower edge of their share of that range."""
     step = (max_score - min_score) / buckets

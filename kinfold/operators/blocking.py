@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.grams import Signer, band_keys
+from kinfold.session import tasks
 
 
 def signatures(uniques: DataFrame, n: int = 3, permutations: int = 128, seed: int = 0) -> DataFrame:
@@ -34,15 +35,21 @@ def lsh_buckets(uniques: DataFrame, n: int = 3, bands: int = 32, rows: int = 4,
                 k = band_keys(np.stack([signer(t) for t in b["form"]]), bands, rows)
                 yield pd.DataFrame({"id": b["id"], "block": b["block"], "keys": list(k)})
 
-    keyed = uniques.where(F.length("form") >= n).select("id", "block", "form").mapInPandas(keys, "id long, block string, keys array<long>")
+    # a small table would come in few files: names are spread over all tasks before each becomes bands rows
+    spread = uniques.where(F.length("form") >= n).select("id", "block", "form").repartition(tasks(uniques.sparkSession))
+    keyed = spread.mapInPandas(keys, "id long, block string, keys array<long>")
     return keyed.select("block", F.posexplode("keys").alias("band", "bucket"), "id")
 
 
 def lsh_pairs(buckets: DataFrame) -> DataFrame:
-    """(block, a, b), a < b: names that share a bucket. buckets should be a table, as both sides read it."""
-    left = buckets.withColumnRenamed("id", "a")
-    right = buckets.withColumnRenamed("id", "b")
-    return left.join(right, ["block", "band", "bucket"]).where("a < b").select("block", "a", "b").distinct()
+    """(block, a, b), a < b: names that share a bucket. buckets should be a table, as both sides read it. If it has prefix
+    (features.tfidf_vectors), pairs that can't reach its score are left out before they are made distinct."""
+    left = buckets.withColumnsRenamed({"id": "a", "prefix": "pa"})
+    right = buckets.withColumnsRenamed({"id": "b", "prefix": "pb"})
+    pairs = left.join(right, ["block", "band", "bucket"]).where("a < b")
+    if "prefix" in buckets.columns:
+        pairs = pairs.where(F.arrays_overlap("pa", "pb"))
+    return pairs.select("block", "a", "b").distinct()
 
 
 def gramless_pairs(uniques: DataFrame, n: int) -> DataFrame:

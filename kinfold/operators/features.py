@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.grams import distinct_ngrams, ngrams
 from kinfold.functions.normalize import comparison_form, let, normalize_name, truncate_bytes
+from kinfold.session import tasks
 
 
 def alias_table(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -48,12 +49,27 @@ def gram_idf(uniques: DataFrame, n: int = 3) -> DataFrame:
     return df.join(docs, "block").select("block", "gram", "df", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
 
 
-def tfidf_vectors(uniques: DataFrame, n: int = 3) -> DataFrame:
-    """(id, vec): entries (gram, w) in order of grams, of length 1; a vector without weight keeps zeros."""
-    tf = uniques.select("id", "block", F.explode(ngrams("form", n)).alias("gram")).groupBy("id", "block", "gram").agg(F.count("*").alias("tf"))
-    weights = tf.join(gram_idf(uniques, n), ["block", "gram"]).select("id", F.struct("gram", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    vec = weights.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v"))
+def tfidf_vectors(uniques: DataFrame, n: int = 3, prefix_for: float | None = None) -> DataFrame:
+    """(id, vec): entries (gram, w) in order of grams, of length 1; a vector without weight keeps zeros.
+
+    With prefix_for, also prefix: hashes of the rarest grams without which the rest of the vector is shorter than that score.
+    Of two vectors whose product reaches it, the rarest common gram is in both prefixes."""
+    # names are shuffled, not their grams: both groupings below find the grams of a name in one place already
+    spread = uniques.select("id", "block", "form").repartition(tasks(uniques.sparkSession), "id")
+    grams = spread.select("id", "block", F.explode(ngrams("form", n)).alias("gram"))
+    tf = grams.groupBy("id", "block", "gram").agg(F.count("*").alias("tf"))
+    weights = tf.join(gram_idf(uniques, n), ["block", "gram"])
+    if prefix_for is None:
+        vec = weights.select("id", F.struct("gram", (F.col("tf") * F.col("idf")).alias("w")).alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v"))
+    else:
+        vec = weights.select("id", F.struct("gram", (F.col("tf") * F.col("idf")).alias("w"), "df").alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    return vec.withColumn("norm", norm).select(
-        "id", F.transform("v", lambda e: F.struct(e["gram"].alias("gram"), F.when(F.col("norm") > 0, e["w"] / F.col("norm")).otherwise(0.0).alias("w"))).alias("vec")
-    )
+    unit = F.transform("v", lambda e: F.struct(e["gram"].alias("gram"), F.when(F.col("norm") > 0, e["w"] / F.col("norm")).otherwise(0.0).alias("w")))
+    out = vec.withColumn("norm", norm)
+    if prefix_for is None:
+        return out.select("id", unit.alias("vec"))
+    rarest = F.array_sort(F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["gram"].alias("gram"), e["w"].alias("w"))))
+    enough = F.col("norm") * F.col("norm") * F.lit(max(prefix_for - 1e-6, 0.0) ** 2)
+    start = F.struct((F.col("norm") * F.col("norm")).alias("rest"), F.array().cast("array<long>").alias("kept"))
+    step = lambda s, e: F.when((s["rest"] >= enough) & (e["w"] > 0), F.struct((s["rest"] - e["w"] * e["w"]).alias("rest"), F.concat(s["kept"], F.array(F.xxhash64(e["gram"]))).alias("kept"))).otherwise(s)
+    return out.select("id", unit.alias("vec"), F.aggregate(rarest, start, step, lambda s: s["kept"]).alias("prefix"))

@@ -39,12 +39,17 @@ def scored_candidates(uniques: DataFrame, min_score: float, n: int = 3, bands: i
         raise ValueError("ngram_size, lsh_bands and lsh_rows must be at least 1")
     enough = uniques.groupBy("block").agg(F.count("*").alias("n")).where("n >= 3").select("block")
     names = uniques.join(enough, "block", "left_semi")
-    buckets = cut(lsh_buckets(names, n, bands, rows, seed))
-    pairs = lsh_pairs(buckets)
-    if min_score == 0:
-        pairs = pairs.unionByName(gramless_pairs(names, n))
-    scored = cut(score_pairs(pairs, cut(tfidf_vectors(names, n))).where(F.col("score") >= min_score))
+    buckets = lsh_buckets(names, n, bands, rows, seed)
+    if min_score > 0:
+        vectors = cut(tfidf_vectors(names, n, min_score))
+        buckets = cut(buckets.join(vectors.select("id", "prefix"), "id"))
+        pairs = lsh_pairs(buckets)
+    else:
+        vectors, buckets = cut(tfidf_vectors(names, n)), cut(buckets)
+        pairs = lsh_pairs(buckets).unionByName(gramless_pairs(names, n))
+    scored = cut(score_pairs(pairs, vectors.select("id", "vec")).where(F.col("score") >= min_score))
     release(buckets)
+    release(vectors)
     return scored
 
 

@@ -285,6 +285,29 @@ def audit_sample(spark, sf):
     return audit.evenly_spaced(rows.where(audit.changed(F.col("name"), F.col("norm"))).select("row_id", "name", "norm"), "row_id")
 
 
+def seeded_sample(spark, sf):
+    return audit.seeded_sample(names(spark, sf).where("name is not null"), ["row_id"], 200).select("row_id", "name")
+
+
+def partition_values(spark, sf):
+    return audit.partition_values(read(spark, sf, "vendor_shipments"), "country_of_origin")
+
+
+def stream_assign(spark, sf):
+    """The typed names as a stream, assigned to the clusters of the register."""
+    import uuid
+
+    from kinfold.sources import sinks
+    from kinfold.streaming import assign
+
+    base = f"{tables_root(spark)}/stream-{uuid.uuid4().hex}"
+    sinks.parquet(assign.cluster_table(cluster.cluster(read(spark, sf, "gleif"), "legal_name"), "legal_name"), f"{base}/known")
+    typed = read(spark, sf, "name_records")
+    arrivals = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/name_records.parque[t]")
+    assign.start(arrivals, f"{base}/known", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("record_id", "name", "cluster_id", "canonical_name")
+
+
 def dba_alias_rows(spark, sf):
     return audit.alias_rows(read(spark, sf, "sam_entities"))
 
@@ -522,6 +545,12 @@ SQL["cluster_vendors_by_country"] = _blocked(
 )
 _R = _BASE.replace(_NAMES.format(part="part").replace("STRING", "VARCHAR"), "SELECT row_number() OVER (ORDER BY lei, legal_name) AS row_id, lei, legal_name AS name, '' AS true_entity FROM gleif")
 SQL["cluster_register"] = SQL["cluster_default"].replace(_BASE, _R).replace("SELECT nn.row_id, nn.name", "SELECT nn.lei, nn.row_id, nn.name").replace(_CLUSTER, "SELECT lei, cluster_id, canonical_name FROM result")
+SQL["seeded_sample"] = _BASE + " SELECT row_id, name FROM names WHERE name IS NOT NULL ORDER BY md5('0' || chr(31) || row_id), row_id LIMIT 200"
+SQL["partition_values"] = "SELECT DISTINCT country_of_origin FROM vendor_shipments WHERE country_of_origin IS NOT NULL"
+SQL["stream_assign"] = SQL["cluster_register"].replace(
+    "SELECT lei, cluster_id, canonical_name FROM result",
+    f"SELECT record_id, r.name, i.cluster_id, i.canonical AS canonical_name FROM name_records r LEFT JOIN ids i ON i.norm = {_N('r.name')}",
+)
 
 QUERIES = {
     "normalize_names": normalize_names, "normalize_registers": normalize_registers, "normalize_truncated": normalize_truncated, "comparison_forms": comparison_forms,
@@ -533,5 +562,5 @@ QUERIES = {
     "cluster_threshold_sweep": cluster_threshold_sweep, "cluster_sizes_top": cluster_sizes_top, "explain_edges": explain_edges, "acronym_map": acronym_map, "score_clusters": score_clusters,
     "lsh_calibrate_grid": lsh_calibrate_grid, "score_buckets": score_buckets, "bucket_distribution": bucket_distribution, "bucket_sample": bucket_sample, "context_join": context_join,
     "evaluation_set": evaluation_set, "audit_stats": audit_stats, "audit_collisions": audit_collisions, "audit_alias_recall": audit_alias_recall, "audit_tail_tokens": audit_tail_tokens,
-    "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples,
+    "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "seeded_sample": seeded_sample, "partition_values": partition_values, "stream_assign": stream_assign, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples,
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,9 @@ def tables_root(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="kinfold-")
+    folder = tempfile.mkdtemp(prefix="kinfold-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
