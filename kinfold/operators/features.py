@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.grams import distinct_ngrams, ngrams
@@ -58,18 +58,17 @@ def tfidf_vectors(uniques: DataFrame, n: int = 3, prefix_for: float | None = Non
     spread = uniques.select("id", "block", "form").repartition(tasks(uniques.sparkSession), "id")
     grams = spread.select("id", "block", F.explode(ngrams("form", n)).alias("gram"))
     tf = grams.groupBy("id", "block", "gram").agg(F.count("*").alias("tf"))
-    weights = tf.join(gram_idf(uniques, n), ["block", "gram"])
-    if prefix_for is None:
-        vec = weights.select("id", F.struct("gram", (F.col("tf") * F.col("idf")).alias("w")).alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v"))
-    else:
-        vec = weights.select("id", F.struct("gram", (F.col("tf") * F.col("idf")).alias("w"), "df").alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    unit = F.transform("v", lambda e: F.struct(e["gram"].alias("gram"), F.when(F.col("norm") > 0, e["w"] / F.col("norm")).otherwise(0.0).alias("w")))
-    out = vec.withColumn("norm", norm)
-    if prefix_for is None:
-        return out.select("id", unit.alias("vec"))
-    rarest = F.array_sort(F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["gram"].alias("gram"), e["w"].alias("w"))))
-    enough = F.col("norm") * F.col("norm") * F.lit(max(prefix_for - 1e-6, 0.0) ** 2)
-    start = F.struct((F.col("norm") * F.col("norm")).alias("rest"), F.array().cast("array<long>").alias("kept"))
-    step = lambda s, e: F.when((s["rest"] >= enough) & (e["w"] > 0), F.struct((s["rest"] - e["w"] * e["w"]).alias("rest"), F.concat(s["kept"], F.array(F.xxhash64(e["gram"]))).alias("kept"))).otherwise(s)
-    return out.select("id", unit.alias("vec"), F.aggregate(rarest, start, step, lambda s: s["kept"]).alias("prefix"))
+    weights = tf.join(gram_idf(uniques, n), ["block", "gram"]).select("id", "gram", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    # sums along one sort per name, in the same order in every run; the names' partitioning serves it
+    rarest = Window.partitionBy("id").orderBy("df", "gram")
+    square = F.col("w") * F.col("w")
+    total = F.sum(square).over(rarest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    upto = F.sum(square).over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = weights.select("id", "gram", "w", total.alias("total"), *([] if prefix_for is None else [upto.alias("upto")]))
+    unit = F.when(F.col("total") > 0, F.col("w") / F.sqrt("total")).otherwise(0.0)
+    out = [F.array_sort(F.collect_list(F.struct("gram", unit.alias("w")))).alias("vec")]
+    if prefix_for is not None:
+        rest = F.col("total") - F.col("upto") + square
+        needed = (rest >= F.col("total") * F.lit(max(prefix_for - 1e-6, 0.0) ** 2)) & (F.col("w") > 0)
+        out.append(F.collect_list(F.when(needed, F.xxhash64("gram"))).alias("prefix"))
+    return summed.groupBy("id").agg(*out)
