@@ -69,7 +69,7 @@ def _look_sql(c: str) -> str:
     for x, y in several.items():
         if x in SEVERAL_IN_DATA:
             out = f"replace({out}, {_text(x)}, {_text(y)})"
-    return f"nfc_normalize({out})"
+    return out
 
 
 #: The SQL spells out only those of the characters that stand for several.
@@ -78,7 +78,7 @@ _P4_VALUES = f"""
 WITH v AS (SELECT 'uk_register.legal_name' AS field_name, company_number AS key, legal_name AS value FROM uk_register
   UNION ALL SELECT 'uk_register.legal_name_translit', company_number, legal_name_translit FROM uk_register
   UNION ALL SELECT 'party_aliases.name', alias_key, name FROM party_aliases),
-l AS (SELECT DISTINCT field_name, key, value, {_look_sql('value')} AS look FROM v WHERE value IS NOT NULL AND key IS NOT NULL)
+l AS (SELECT DISTINCT field_name, key, value, nfc_normalize({_look_sql('value')}) AS look FROM v WHERE value IS NOT NULL AND key IS NOT NULL)
 """
 _P6 = """
 WITH RECURSIVE l AS (SELECT DISTINCT name_a AS a, name_b AS b FROM match_pairs
@@ -92,5 +92,10 @@ SQL: dict[str, str] = {
     "p4_found": _P4_VALUES
     + """SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM l a JOIN l b
     ON a.field_name = b.field_name AND a.look = b.look AND a.key < b.key AND a.value <> b.value""",
+    "p4_canonical": _P4_VALUES
+    + f""", m AS (SELECT DISTINCT field_name, value, {_look_sql('value')} AS plain FROM v WHERE value IS NOT NULL),
+    c AS (SELECT field_name, nfc_normalize(plain) AS look, arg_min(value, (value <> plain, strlen(value), value)) AS canonical FROM m GROUP BY 1, 2)
+    SELECT v.field_name, v.key, v.value, c.canonical FROM v JOIN m ON m.field_name = v.field_name AND m.value = v.value
+      JOIN c ON c.field_name = m.field_name AND c.look = nfc_normalize(m.plain)""",
     "p6_found": _P6,
 }
