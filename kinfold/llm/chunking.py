@@ -45,13 +45,13 @@ class Text:
         self.text, self.vocabulary = text, vocabulary
         parts = tokens.PARTS.findall(text)
         counts = list(map(vocabulary.__getitem__, parts))
+        self.n = sum(counts)
         self.inner: list[int] = []  # parts that begin within a word, ascending
         if counts and max(counts) > long_word:
             parts, counts = self._break(parts, counts, long_word)
         self.parts = parts
         self.at = list(accumulate(map(len, parts), initial=0))
         self.sum = list(accumulate(counts, initial=0))
-        self.n = self.sum[-1]
         self.kinds: list[list[int]] | None = None
 
     def _break(self, parts: list[str], counts: list[int], long_word: int) -> tuple[list[str], list[int]]:
