@@ -4,9 +4,10 @@
    and nicknames come from word lists, typing errors in them are bridged by edit distance.
 2. A symmetric-delete index on the words of cores finds neighbours: a core gives one key for each pair of its two parts
    with at most one character deleted from each; parts are its words, or runs of words written apart, or what a word
-   written together splits into. Each key's heaviest core is the candidate for all others, so work is linear.
+   written together splits into. Each key's heaviest core is the candidate for all others; cores left without a neighbour
+   are then tried with the key's next ones, in steps that double, until none is left untried.
 3. Candidates are verified by the optimal assignment of words under the Damerau-Levenshtein distance, also over words
-   written apart or together; a core follows its nearest heavier neighbour up to a root. Cores of a trusted register stay.
+   written apart or together; a core follows its nearest heavier neighbour of a step up to a root. Cores of a trusted register stay.
 4. Within a root, names are one entity if number and trade (companies) or given name (persons) agree. A name without trade
    or with an initial only joins if that leaves one choice, else it stays alone.
 
@@ -290,7 +291,8 @@ def align(a: list[str], b: list[str]) -> int | None:
 
 
 def neighbours(cores: DataFrame) -> DataFrame:
-    """(core, center, edits) from cores (core, weight, trusted): the nearest heavier neighbour of each core that has one."""
+    """(core, center) from cores (core, weight, trusted): a heavier neighbour of each core that has one, the nearest of
+    those tried in the same step."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -305,10 +307,19 @@ def neighbours(cores: DataFrame) -> DataFrame:
     # a core becomes about a hundred keys: spread the small table first, over a fixed number of tasks
     spread = cores.repartition(tasks(cores.sparkSession), "core")
     indexed = spread.mapInPandas(index, "core string, weight long, trusted boolean, ks array<long>").select("core", "weight", "trusted", F.explode("ks").alias("k"))
-    heaviest = F.expr("max(struct(trusted, weight, core)) over (partition by k)")
-    pairs = indexed.withColumn("c", heaviest).where("core <> c.core and not trusted").selectExpr("core", "c.core as center", "c.weight as weight", "c.trusted as trusted").distinct()
-    checked = pairs.mapInPandas(verify, "core string, center string, weight long, trusted boolean, edits int")
-    return checked.groupBy("core").agg(F.min_by("center", F.struct("edits", F.expr("not trusted"), F.expr("-weight"), "center")).alias("center"))
+    w = "over (partition by k order by trusted desc, weight desc, core desc)"
+    ranked = cut(indexed.selectExpr("*", f"row_number() {w} as r", f"lead(core) {w} as after").where("r > 1 or after is not null").drop("after"))
+    left, found, start = ranked.where("r > 1 and not trusted").select("core", "k", "r"), None, 1
+    while True:
+        centers = ranked.where(f"r between {start} and {2 * start - 1}").selectExpr("k", "core as center", "weight", "trusted", "r as rank")
+        pairs = left.join(centers, "k").where("rank < r").select("core", "center", "weight", "trusted").distinct()
+        checked = pairs.mapInPandas(verify, "core string, center string, weight long, trusted boolean, edits int")
+        link = cut(checked.groupBy("core").agg(F.min_by("center", F.struct("edits", F.expr("not trusted"), F.expr("-weight"), "center")).alias("center")))
+        found, start = link if found is None else found.unionByName(link), 2 * start
+        old, left = left, cut(left.where(f"r > {start}").join(link, "core", "left_anti"))
+        release(old)
+        if left.isEmpty():
+            return found
 
 
 def roots(cores: DataFrame, rounds: int = 12) -> DataFrame:

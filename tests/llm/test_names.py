@@ -100,3 +100,10 @@ def test_entities(spark):
     want = {p for i, g in enumerate(GROUPS) for p in combinations([f"k{i}.{j}" for j in range(len(g))], 2)}
     assert got == want
     assert spelling.same_entity(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("ahead", ["o", "obdfghjmnprs"])
+def test_cores_behind_the_heaviest_of_their_keys_are_compared(spark, ahead):
+    cores = [(f"{c}tol kelso", 99 - i, False) for i, c in enumerate(ahead)] + [("tola kelso", 2, False), ("tolu kelso", 1, False), ("mirgon feldan", 5, False)]
+    got = {r.core: r.root for r in spelling.roots(spark.createDataFrame(cores, "core string, weight long, trusted boolean")).collect()}
+    assert got == {c: "otol kelso" if c[1:].startswith("tol ") else "tola kelso" if c.startswith("tol") else c for c, *_ in cores}
