@@ -4,7 +4,7 @@
    and nicknames come from word lists, typing errors in them are bridged by edit distance.
 2. A symmetric-delete index on the words of cores finds neighbours: a core gives one key for each pair of its two parts
    with at most one character deleted from each; parts are its words, or runs of words written apart, or what a word
-   written together splits into. Each key's heaviest core is the candidate for all others; cores left without a neighbour
+   written together splits into. Three and more words also give keys without order, for errors in two of them. Each key's heaviest core is the candidate for all others; cores left without a neighbour
    are then tried with the key's next ones, in steps that double, until none is left untried.
 3. Candidates are verified by the optimal assignment of words under the Damerau-Levenshtein distance, also over words
    written apart or together; a core follows its nearest heavier neighbour of a step up to a root. Cores of a trusted register stay.
@@ -12,16 +12,19 @@
    or with an initial only joins if that leaves one choice, else it stays alone.
 
 Null and void names ('N/A', '-', blanks, no letters) belong to no entity. Repeated rows count once. Words of more than 48
-characters are compared exactly. Other columns are not looked at.
+characters are compared exactly, as are names of under three letters and, against the same letters split into another
+number of words, cores of more than 96. Cores of more than 256 words are found if one word differs. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -95,6 +98,8 @@ _BLANK_NAMES = set("n/a na none null unknown tbd nil void test x xx xxx -".split
 MIN_PART = 3
 #: Words beyond this length are compared exactly.
 LONGEST_WORD = 48
+#: From so many words on, the index leaves whole words out instead of letters; beyond the second number, one word only.
+MANY_WORDS, MOST_WORDS = 6, 256
 
 
 def fold(word: str) -> str:
@@ -237,9 +242,7 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
         words = rest
     if not words:
         words, given = given, []
-    if len(words) > 6:
-        words = words[:1] + ["".join(words[1:])]
-    if not words or sum(map(len, words)) < 3:
+    if not words:
         return None
     return " ".join(words), " ".join(sorted(numbers)), "|".join(sorted(trades)), " ".join(sorted(set(given))), "".join(sorted(set(initials))), legal
 
@@ -251,12 +254,28 @@ def parts(core: list[str]) -> Iterator[tuple[str, ...]]:
         yield (w,)
         for i in range(MIN_PART + 1, len(w) - MIN_PART if len(w) <= LONGEST_WORD else 0):
             yield w[:i], w[i:]
-    for i in range(1, len(core)):
-        yield "".join(core[:i]), "".join(core[i:])
+    if sum(map(len, core)) <= 2 * LONGEST_WORD or len(core) == 2:
+        for i in range(1, len(core)):
+            yield "".join(core[:i]), "".join(core[i:])
+    if len(core) > 1 and sum(map(len, core)) > 2 * LONGEST_WORD:
+        yield ("".join(core),)  # written apart or together it is compared exactly
+
+
+def unordered(core: list[str], h) -> list[np.ndarray]:
+    """Hashes of three or more words in any order, two of them with errors: each with at most a character deleted, or both
+    left out where many words remain."""
+    n, one = len(core), h(core)
+    if n >= MANY_WORDS:
+        rest = one.sum() - one
+        if n <= MOST_WORDS:
+            rest = np.subtract.outer(rest, one)[np.triu_indices(n, 1)]
+        return [(rest + np.uint64(n)) * np.uint64(7)]
+    changes = [h(deletes(w)) - x for w, x in zip(core, one)]
+    return [(one.sum() + np.add.outer(a, b).ravel()) * np.uint64(5) for a, b in combinations(changes, 2)]
 
 
 def keys(core: list[str]) -> np.ndarray:
-    """Hashes of the symmetric-delete index; the order of the two parts doesn't matter."""
+    """Hashes of the symmetric-delete index; the order of the two parts, or of three and more words, doesn't matter."""
     import xxhash
 
     h = lambda words: np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
@@ -264,9 +283,36 @@ def keys(core: list[str]) -> np.ndarray:
     for p in parts(core):
         a = h(deletes(p[0]))
         out.append(a * np.uint64(3) if len(p) == 1 else np.add.outer(a, h(deletes(p[1]))).ravel())
+    if len(core) > 2:
+        out += unordered(core, h)
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def cheapest(costs: list[list[int]]) -> int:
+    """Cost of the optimal assignment of rows to columns (Hungarian method)."""
+    n = len(costs)
+    u, v, row = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row[0], j = i, 0
+        least, used, way = [math.inf] * (n + 1), [False] * (n + 1), [0] * (n + 1)
+        while row[j]:
+            used[j], r = True, row[j]
+            for k in range(1, n + 1):
+                if not used[k] and (c := costs[r - 1][k - 1] - u[r] - v[k]) < least[k]:
+                    least[k], way[k] = c, j
+            step, j = min((least[k], k) for k in range(1, n + 1) if not used[k])
+            for k in range(n + 1):
+                if used[k]:
+                    u[row[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+        while j:
+            row[j] = row[way[j]]
+            j = way[j]
+    return -v[0]
+
+
 def align(a: list[str], b: list[str]) -> int | None:
     """Edits between two cores under the best assignment of words, None if they are too far apart."""
     best = None
@@ -281,7 +327,15 @@ def align(a: list[str], b: list[str]) -> int | None:
                 total += d
             else:
                 best = total if best is None else min(best, total)
-    if best is None and len(a) != len(b) and sum(map(len, a)) <= 2 * LONGEST_WORD:  # words written apart or together
+    elif len(a) == len(b):
+        if sorted(a) == sorted(b):
+            return 0
+        far = 2 * len(a) + 1  # more than any assignment within what is allowed
+        total = cheapest([[d if (d := distance(x, y, most := allowed(x, y))) <= most else far for y in b] for x in a])
+        best = total if total < far else None
+    elif sum(map(len, a)) > 2 * LONGEST_WORD:
+        return 0 if "".join(a) == "".join(b) else None
+    else:  # words written apart or together
         x = "".join(a)
         for p in permutations(b) if len(b) <= 4 else [b]:
             d = distance(x, "".join(p), 2)

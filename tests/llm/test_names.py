@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +107,32 @@ def test_cores_behind_the_heaviest_of_their_keys_are_compared(spark, ahead):
     cores = [(f"{c}tol kelso", 99 - i, False) for i, c in enumerate(ahead)] + [("tola kelso", 2, False), ("tolu kelso", 1, False), ("mirgon feldan", 5, False)]
     got = {r.core: r.root for r in spelling.roots(spark.createDataFrame(cores, "core string, weight long, trusted boolean")).collect()}
     assert got == {c: "otol kelso" if c[1:].startswith("tol ") else "tola kelso" if c.startswith("tol") else c for c, *_ in cores}
+
+
+LONG = "mirgon feldan kustor belvin zorpat nulgar".split()
+
+
+def test_long_cores_get_the_optimal_assignment():
+    typo = ["mirgn", *LONG[:0:-1]]
+    assert spelling.align(LONG, typo) == 1 and spelling.align(LONG, [*LONG[:5], "other"]) is None
+    assert spelling.align(LONG * 2, [*typo, *LONG]) == 1 and spelling.align(["mirgon feldan".replace(" ", ""), *LONG[2:]], LONG) == 0
+    r = random.Random(1)
+    for _ in range(200):
+        costs = [[r.randrange(9) for _ in range(5)] for _ in range(5)]
+        assert spelling.cheapest(costs) == min(sum(row[j] for row, j in zip(costs, p)) for p in permutations(range(5)))
+    keys = lambda words: set(spelling.keys(words).tolist())
+    for n in (3, 4, 5, 6, 7, 20, 256):
+        words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(n)]
+        other = ["x" + words[0][1:], *words[:1:-1], words[1][:-1]]
+        assert keys(words) & keys(other)
+    assert keys([f"word{i}" for i in range(300)]) & keys([f"word{i}" for i in range(299, 0, -1)] + ["other"])
+
+
+def test_entities_of_long_and_short_names(spark):
+    seven = [*LONG, "tosdil"]
+    groups = [["BP plc", "BP PLC", "bp"], ["BQ plc"], [" ".join(seven) + " AB", " ".join(seven[::-1]) + " AB", " ".join(["mirgn", *seven[1:]])]]
+    groups += [[" ".join(w[::-1] for w in seven) + " AB", "Nogrim " + "".join(w[::-1] for w in seven[1:]) + " AB"]]
+    groups += [["Kelsot Mardin Volpat Inc", "Mardin Kelsot Volpt Inc"], [" ".join(LONG[::-1][:5] + ["tamgir"]) + " Ltd", " ".join(["tamgr", *LONG[1:]]) + " Ltd"]]
+    rows = [(f"k{i}.{j}", n, False) for i, g in enumerate(groups) for j, n in enumerate(g)]
+    got = {(r.key_a, r.key_b) for r in spelling.same_entity(spark.createDataFrame(rows, "key string, name string, trusted boolean")).collect()}
+    assert got == {p for i, g in enumerate(groups) for p in combinations([f"k{i}.{j}" for j in range(len(g))], 2)}
