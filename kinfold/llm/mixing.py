@@ -93,10 +93,11 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     spark = documents.sparkSession
     sizes = cut(token_sizes(documents, vocabulary))
     blocks = cut(shuffled_blocks(sizes, block_tokens, seed))
-    counts = {r["source"]: r["blocks"] for r in blocks.groupBy("source").agg(F.max("blocks").alias("blocks")).limit(MAX_PLANNED).collect()}
     planned = [r.asDict() for r in targets.select("plan", "source", "target_share", "max_repeats").where("source is not null and target_share is not null").distinct().limit(MAX_PLANNED + 1).collect()]
     if len(planned) > MAX_PLANNED:
         raise ValueError(f"more than {MAX_PLANNED} rows of targets")
+    wanted = spark.createDataFrame([(s,) for s in sorted({p["source"] for p in planned})], "source string")
+    counts = {r["source"]: r["blocks"] for r in blocks.join(wanted, "source", "left_semi").groupBy("source").agg(F.max("blocks").alias("blocks")).collect()}
     slots = schedule([p | {"blocks": counts.get(p["source"])} for p in planned], spark)
     return slots.join(blocks, ["source", "block_no"]).select("plan", "slot", "source", "doc_id", "use_no", "n_tokens")
 

@@ -56,3 +56,13 @@ def test_empty(spark, mixed):
     targets, _ = mixed
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(docs, targets).collect() == []
+
+
+def test_planned_sources_are_found_among_any_number(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PLANNED", 3)
+    docs = spark.createDataFrame([(i, f"s{i:02}", "word word") for i in range(40)], "doc_id long, source string, text string")
+    for s in ("s00", "s17", "s39"):
+        targets = spark.createDataFrame([("a", s, 1.0, 1), ("a", "gone", 0.5, 1)], "plan string, source string, target_share double, max_repeats int")
+        assert [r.source for r in mixing.mix(docs, targets).collect()] == [s]
+    with pytest.raises(ValueError):
+        mixing.mix(docs, docs.limit(4).selectExpr("'a' as plan", "source", "0.25D as target_share", "1 as max_repeats"))
