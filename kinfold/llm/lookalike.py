@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from kinfold.functions.normalize import constant_map, let
 from kinfold.session import cut
 
-# Fixed values, from Unicode's table of confusable characters: letters drawn like Latin ones, and the Latin ones.
+# Letters drawn like Latin ones, and the Latin ones. The list by hand comes first; the rest is generated from
+# Unicode's table of confusable characters (ICU 77): all letters whose prototype is a single Latin letter, but those with
+# compatibility forms, those of one script that share a prototype (told apart by that script's readers, as sigma and
+# omicron are; Latin letters all are, dotless i too), dotless letters against i, and letters that may be I or l.
 CONFUSABLE = {
     "АВЕЅІЈКМНОРСТУХҮԚԜӀ": "ABESIJKMHOPCTYXYQWI",  # Cyrillic capitals
     "аеорсухѕіјһԁԛԝүѵ": "aeopcyxsijhdqwyv",  # Cyrillic small letters
@@ -29,7 +32,32 @@ CONFUSABLE = {
     "ονρϲϳ": "ovpcj",  # Greek small letters
     "օսՍՕ": "ouUO",  # Armenian
     "ɡɑ‐‑": "ga--",  # other forms
-}
+    "𑜆": "v",  # Ahom
+    "Տահցք": "Swhgf",  # Armenian
+    "ꛟ": "V",  # Bamum
+    "ᐯᑌᑭᑯᒍᒪᕼᖇᖴᗅᗰᗷ": "VUPdJLHRFAMB",  # Canadian
+    "𐊠𐊡𐊢𐊥𐊫𐊰𐊱𐊲𐊴𐋏": "ABCFOMTYXH",  # Carian
+    "ᎠᎢᎪᎫᎬᎷᎻᏂᏃᏏᏙᏞᏟᏢᏦᏧᏴꮁꮃꮓꮩꮪꮯ": "DTAJEMHhZbVLCPKdBrwzvsc",  # Cherokee
+    "ⲅⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⳐ": "rHIKMNOoPpCcTYXL",  # Coptic
+    "ЬгѴԌ": "brVG",  # Cyrillic
+    "𐐄𐐕𐐛𐐠𐐬𐐽𐑈": "OCLSocs",  # Deseret
+    "𐔓𐔖𐔘𐔜𐔝𐔥𐔦𐔧": "NOKCVFLX",  # Elbasan
+    "ሀዐ": "UO",  # Ethiopic
+    "ყჿ": "yo",  # Georgian
+    "αγυϜᴦ": "ayuFr",  # Greek
+    "טס": "vo",  # Hebrew
+    "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPdDTGKJCZFMNLSRVHWXYAEIOU",  # Lisu
+    "𐊂𐊆𐊇𐊐𐊒𐊕𐊖𐊗": "BEFXOPST",  # Lycian
+    "ഠ": "o",  # Malayalam
+    "𖼈𖼊𖼖𖼵𖼺𖽀𖽂𖽃": "VTLRSAUY",  # Miao
+    "ဝ": "o",  # Myanmar
+    "𐌁𐌂𐌉𐌑𐌕𐌗": "BCIMTX",  # Old
+    "ଠ": "O",  # Oriya
+    "𐒴𐓂𐓎𐓪𐓶": "ROUou",  # Osage
+    "ᚷᛕᛖ": "XKM",  # Runic
+    "ⴸⴹⵔⵕⵝ": "VEOQX",  # Tifinagh
+    "𑢠𑢤𑢩𑢵𑢸𑢼𑣀𑣁𑣄𑣘𑣜": "VYZOUTvszuy",  # Warang
+}
 #: Kinds of compatibility characters that differ from the plain ones in width, joining or blank only.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 UNSEEN_FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"

@@ -66,6 +66,12 @@ def test_maps_keep_visible_differences():
     assert not set("éöñßıłø№²½") & set(one) and all(k != v for k, v in one.items()) and "Ⅳ" in several and "\u200b" in unseen
 
 
+def test_lookalikes_of_all_scripts(spark):
+    rows = [("a", "Tasco AB"), ("b", "Ꭲasco AB"), ("c", "ꓔasco ꓮꓐ"), ("d", "Ⲧasⲥo AB"), ("e", "\U00010315asco AB"), ("x", "Tasco ꓮꓑ"), ("y", "Taσco AB"), ("z", "Taƨco AB"), ("n", "Tɑsco АԲ")]
+    forms = lookalike.canonical_form(spark.createDataFrame(rows, "key string, name string"), "key", {"f": "name"})
+    assert {(r.key_a, r.key_b) for r in lookalike.lookalike_pairs(forms).collect()} == set(combinations("abcde", 2))
+
+
 # ---- spellings
 
 def test_distance():
