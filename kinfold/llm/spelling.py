@@ -376,18 +376,16 @@ def neighbours(cores: DataFrame) -> DataFrame:
             return found
 
 
-def roots(cores: DataFrame, rounds: int = 12) -> DataFrame:
+def roots(cores: DataFrame) -> DataFrame:
     """(core, root): centers followed to the end. Every step leads to a heavier core, so there are no cycles."""
     link = cut(neighbours(cores))
-    found = cores.select("core").join(link, "core", "left").select("core", F.coalesce("center", "core").alias("root"))
-    for _ in range(rounds):
-        found = cut(found)
+    found = cut(cores.select("core").join(link, "core", "left").select("core", F.coalesce("center", "core").alias("root")))
+    while True:
         ahead = found.where("core <> root").selectExpr("core as root", "root as next")
         if ahead.join(found.where("core <> root").select("root").distinct(), "root", "left_semi").isEmpty():
             return found
         old, found = found, cut(found.join(ahead, "root", "left").select("core", F.coalesce("next", "root").alias("root")))
         release(old)
-    return found
 
 
 def entities(names: DataFrame) -> DataFrame:

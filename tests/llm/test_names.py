@@ -142,3 +142,9 @@ def test_entities_of_long_and_short_names(spark):
     rows = [(f"k{i}.{j}", n, False) for i, g in enumerate(groups) for j, n in enumerate(g)]
     got = {(r.key_a, r.key_b) for r in spelling.same_entity(spark.createDataFrame(rows, "key string, name string, trusted boolean")).collect()}
     assert got == {p for i, g in enumerate(groups) for p in combinations([f"k{i}.{j}" for j in range(len(g))], 2)}
+
+
+def test_chains_of_any_length_are_followed_to_their_root(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "neighbours", lambda cores: cores.where("n > 0").selectExpr("core", "cast(n - 1 as string) as center"))
+    got = spelling.roots(spark.range(5000).selectExpr("cast(id as string) as core", "id as n"))
+    assert got.count() == 5000 and [r.root for r in got.select("root").distinct().collect()] == ["0"]
