@@ -54,8 +54,10 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], rebuil
 
 
 def report(tables: dict[str, DataFrame], json_path: str, markdown_path: str, most: int = 100) -> None:
-    """Small tables as JSON and Markdown, at most so many rows of each."""
-    data = {name: [r.asDict(True) for r in df.limit(most).collect()] for name, df in tables.items()}
+    """Small tables as JSON and Markdown. A table of more rows than `most` is an error, and nothing is written."""
+    data = {name: [r.asDict(True) for r in df.limit(most + 1).collect()] for name, df in tables.items()}
+    if large := [name for name, rows in data.items() if len(rows) > most]:
+        raise ValueError(f"more than {most} rows in {', '.join(large)}")
     with open(json_path, "w") as f:
         json.dump(data, f, indent=1, default=str)
     lines = []

@@ -2,6 +2,8 @@ import gzip
 import json
 import zipfile
 
+import pytest
+
 from kinfold.operators import audit
 from kinfold.plans import jobs
 from kinfold.sources import readers, sinks
@@ -81,3 +83,12 @@ def test_stream_of_arrivals(spark, tmp_path):
     q = assign.start(spark.readStream.schema("name string").parquet(str(tmp_path / "in")), str(tmp_path / "known"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert {(r.name, r.cluster_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("ACME LLC", 3), ("new one", None), (None, None)}
+
+
+def test_report_writes_all_rows_or_none(spark, tmp_path):
+    paths = [str(tmp_path / "r.json"), str(tmp_path / "r.md")]
+    with pytest.raises(ValueError, match="more than 100 rows in large"):
+        sinks.report({"small": spark.range(1), "large": spark.range(101)}, *paths)
+    assert not list(tmp_path.iterdir())
+    sinks.report({"full": spark.range(100)}, *paths)
+    assert len(json.loads((tmp_path / "r.json").read_text())["full"]) == 100
