@@ -166,7 +166,10 @@ def split_documents(documents: DataFrame, profiles: DataFrame, vocabulary: str =
         if not 0 <= overlap < limit:
             raise ValueError(f"profile {p}: overlap_tokens must be at least 0 and below max_tokens")
 
-    long_word = min([LONG_WORD, *(max(1, (limit - overlap) // 2) for _, limit, overlap in plans)])
+    # what a word is cut within for depends on a profile's own limit, never on the other profiles
+    by_word: dict[int, list[tuple]] = {}
+    for plan in plans:
+        by_word.setdefault(min(LONG_WORD, max(1, (plan[1] - plan[2]) // 2)), []).append(plan)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.load(vocabulary)
@@ -174,14 +177,15 @@ def split_documents(documents: DataFrame, profiles: DataFrame, vocabulary: str =
             rows, size = [], 0
             for i, t in zip(b.column(0), b.column(1)):
                 text, i = t.as_py(), i.as_py()
-                doc = Text(text, known, long_word)
-                for name, limit, overlap in plans:
-                    for k, (x, y, n, shared) in enumerate(doc.pieces(limit, overlap), 1):
-                        rows.append((name, i, k, x, y, n, shared, text[x:y]))
-                        size += y - x
-                        if size > BATCH_CHARACTERS:
-                            yield batch(rows)
-                            rows, size = [], 0
+                for long_word, same in by_word.items():
+                    doc = Text(text, known, long_word)
+                    for name, limit, overlap in same:
+                        for k, (x, y, n, shared) in enumerate(doc.pieces(limit, overlap), 1):
+                            rows.append((name, i, k, x, y, n, shared, text[x:y]))
+                            size += y - x
+                            if size > BATCH_CHARACTERS:
+                                yield batch(rows)
+                                rows, size = [], 0
             if rows:
                 yield batch(rows)
 

@@ -67,3 +67,15 @@ def test_random_round_trip_against_encoder():
         text = "".join(r.choice(PIECES) for _ in range(800))
         doc = chunking.Text(text, v, 64)
         assert doc.n == len(v.encoding.encode_ordinary(text)) or doc.inner
+
+
+def test_profiles_do_not_change_each_other(spark):
+    r = random.Random(8)
+    text = "\n\n".join(" ".join(r.choice(["w" * 40, "don't", "日本語" * 12, "x.y", "Plain words here."]) for _ in range(60)) for _ in range(12))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5000)], "doc_id long, text string")
+    schema = "profile string, max_tokens int, overlap_tokens int"
+    plans = [("wide", 512, 64), ("tiny", 24, 4), ("long", 2048, 0), ("narrow", 9, 0)]
+    together = chunking.split_documents(docs, spark.createDataFrame(plans, schema)).collect()
+    for plan in plans:
+        alone = chunking.split_documents(docs, spark.createDataFrame([plan], schema)).collect()
+        assert sorted(alone) == sorted(x for x in together if x.profile == plan[0])
