@@ -2,74 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.session import cut, release
+from kinfold.operators import forest
+from kinfold.session import cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("a as src", "b as dst").unionByName(edges.selectExpr("b as src", "a as dst")).where("src <> dst").distinct()
 
 
-#: A spanning forest of at most so many nodes is finished by one task; a larger one by rounds over all tasks.
-FOREST_NODES = 2_000_000
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) of a partition to its stars: every node with the smallest node it is connected with."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = parent.setdefault(x, x)
-        while top != parent[top]:
-            top = parent[top]
-        while x != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    nodes = [x for x in parent if root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([parent[x] for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["u", "v"])
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all nodes with an edge; component is the smallest node of it.
-
-    Every task keeps a spanning forest of its edges. If the forests together are small, one task joins them; else rounds of
-    large-star and small-star do, which group by node, so no task gathers a component. Every step is a table."""
-    pairs = edges.selectExpr("cast(least(a, b) as long) as u", "cast(greatest(a, b) as long) as v").where("u <> v")
-    state = cut(pairs.mapInArrow(_forest, "u long, v long"))
-    if state.count() <= FOREST_NODES:
-        new = cut(state.coalesce(1).mapInArrow(_forest, "u long, v long"))
-        release(state)
-    else:
-        new = _stars(state)
-    return new.selectExpr("v as id", "u as component").unionByName(new.selectExpr("u as id", "u as component").distinct())
-
-
-def _stars(state: DataFrame) -> DataFrame:
-    seen = None
-    while True:
-        both = state.unionByName(state.selectExpr("v as u", "u as v"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = cut(both.where("v > u").join(low, "u").selectExpr("m as u", "v").where("u < v").distinct())
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        new = cut(large.join(low, "v").selectExpr("inline(array(struct(m as u, v as v), struct(m as u, u as v)))").where("u < v").distinct())
-        release(large)
-        release(state)
-        state = new
-        now = new.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))"), F.count_distinct("v")).head()
-        if now == seen and now[0] == now[2]:
-            return new
-        seen = now
+    """(id, component) of all nodes with an edge; component is the smallest node of it. See forest.components."""
+    new = cut(forest.components(edges.selectExpr("cast(a as long) as a", "cast(b as long) as b")))
+    return new.selectExpr("node as id", "root as component").unionByName(new.selectExpr("root as id", "root as component").distinct())
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import graph
+from kinfold.operators import forest, graph
 
 
 def edges(spark, pairs):
@@ -67,9 +68,25 @@ def test_distances(spark):
     assert {(r.id, r.distance) for r in graph.distances(e, start).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
 
 
-def test_rounds_give_the_same_as_one_task(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [2, 7, 60, 10**6])
+@pytest.mark.parametrize("name", ["random", "chain", "dense", "hub", "pairs"])
+def test_components_of_many_chunks(spark, chunk, name):
     r = random.Random(9)
-    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)]
-    monkeypatch.setattr(graph, "FOREST_NODES", 10)
-    got = {x.id: x.component for x in graph.connected_components(edges(spark, pairs).repartition(5)).collect()}
-    assert got == brute_components(pairs)
+    pairs = {
+        "random": [(r.randrange(200), r.randrange(200)) for _ in range(150)],
+        "chain": [(i, i + 1) for i in range(60)],
+        "dense": [(a, b) for a in range(14) for b in range(a)] + [(a, 100 + a) for a in range(14)],
+        "hub": [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 60, 7)],
+        "pairs": [(2 * i, 2 * i + 1) for i in range(60)],
+    }[name]
+    got = {x.node: x.root for x in forest.components(edges(spark, pairs + pairs[:9]).repartition(3), chunk).collect()}
+    assert got == {k: v for k, v in brute_components(pairs).items() if k != v}
+
+
+def test_spanning():
+    r = random.Random(4)
+    for n in (1, 2, 50, 400):
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+        u, v = (np.array(x) for x in zip(*pairs))
+        want = brute_components(pairs)
+        assert [want.get(i, i) for i in range(n)] == forest.spanning(u, v, n).tolist()
