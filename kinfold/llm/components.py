@@ -1,107 +1,28 @@
 """Groups of records linked directly or indirectly, from pairwise links.
 
-Each task runs union-find over its own partition of links and keeps a spanning forest only: every node with its root, the
-smallest node of its tree. Forests are merged hierarchically, several partitions into one, as long as a merged partition
-is bounded; its tasks run union-find over the forests. Where one bounded partition can't hold the whole forest, rounds of
-large-star and small-star (grouping by node, never by component) finish the work over all tasks with the same result.
+Union-find runs within the partitions of links, which keep spanning forests only; forests are merged hierarchically
+through bounded partitions, where nodes of one partition are settled and only nodes of several go on to the next level,
+until global components remain (kinfold.operators.forest). The same code runs at every size.
 
-Links with a null end don't link; a link of a node with itself links nothing; repeated and turned links count once.
+Links with a null end don't link; a link of a node with itself links nothing; repeated and turned links count once. An
+empty table has no groups; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.session import cut, release
-
-#: Nodes of a forest that one task holds at most: some 200 bytes each.
-FOREST_NODES = 1_500_000
-FAN_IN = 8
-_STARS = "root string, node string"
-
-
-def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (root, node) of a partition to its stars (smallest node, node)."""
-    parent: dict[str, str] = {}
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            px, py = parent.setdefault(x, x), parent.setdefault(y, y)
-            while px != x:
-                parent[x] = px = parent[px]
-                x, px = px, parent[px]
-            while py != y:
-                parent[y] = py = parent[py]
-                y, py = py, parent[py]
-            if x < y:
-                parent[y] = x
-            elif y < x:
-                parent[x] = y
-    roots, nodes = [], []
-    for x in parent:
-        r = x
-        while parent[r] != r:
-            r = parent[r]
-        parent[x] = r
-        if r != x:
-            roots.append(r)
-            nodes.append(x)
-        if len(nodes) >= 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.string()), pa.array(nodes, pa.string())], ["root", "node"])
-            roots, nodes = [], []
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(roots, pa.string()), pa.array(nodes, pa.string())], ["root", "node"])
-
-
-def forests(links: DataFrame) -> DataFrame:
-    return cut(links.mapInArrow(union_find, _STARS))
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", forest_nodes: int = FOREST_NODES) -> DataFrame:
-    """(node, root) of every linked node but the roots; root is the smallest node of the component."""
-    links = links.select(F.col(a).cast("string").alias("root"), F.col(b).cast("string").alias("node")).where("root is not null and node is not null and root <> node")
-    parts = links.rdd.getNumPartitions()
-    forest = forests(links)
-    while parts > 1:
-        bounded = max(1, -(-forest.count() // forest_nodes))
-        merged = max(bounded, -(-parts // FAN_IN))
-        if merged >= parts:
-            out = stars(forest)
-            release(forest)
-            return out.select("node", "root")
-        old, parts = forest, merged
-        forest = forests(forest.coalesce(merged))
-        release(old)
-    return forest.select("node", "root")
+from kinfold.operators import forest
 
 
-def stars(forest: DataFrame) -> DataFrame:
-    """Large-star and small-star rounds until every edge leads to its component's smallest node."""
-    edges = forest.select(F.col("root").alias("u"), F.col("node").alias("v")).distinct()  # u < v
-    state, seen = None, None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        large = cut(large)
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
-        small = small.select(F.col("m").alias("u"), "v").unionByName(small.selectExpr("m as u", "u as v")).where("u < v").distinct()
-        new = cut(small)
-        release(large)
-        release(state)
-        edges = state = new
-        now = new.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))"), F.count_distinct("v")).head()
-        if now == seen and now[0] == now[2]:
-            return new.select(F.col("u").alias("root"), F.col("v").alias("node"))
-        seen = now
+def components(links: DataFrame, a: str = "a", b: str = "b", chunk_links: int = forest.CHUNK_LINKS) -> DataFrame:
+    """(node, root) of every linked node but the roots; root is the smallest node of the component by code points."""
+    return forest.components(links.select(F.col(a).cast("string"), F.col(b).cast("string")), chunk_links).select("node", "root")
 
 
-def groups(pairs: DataFrame, a: str, b: str, linking) -> DataFrame:
+def groups(pairs: DataFrame, a: str, b: str, linking, chunk_links: int = forest.CHUNK_LINKS) -> DataFrame:
     """(group_name, name): every non-null name of either side with the smallest name of its group."""
     names = pairs.select(F.col(a).alias("name")).unionByName(pairs.select(F.col(b).alias("name"))).where("name is not null").distinct()
-    roots = components(pairs.where(linking), a, b)
+    roots = components(pairs.where(linking), a, b, chunk_links)
     return names.join(roots.withColumnRenamed("node", "name"), "name", "left").select(F.coalesce("root", "name").alias("group_name"), "name")

@@ -23,12 +23,12 @@ def brute(pairs):
     return {x: find(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("parts,nodes", [(1, 10**6), (6, 10**6), (6, 20)])
-def test_components(spark, parts, nodes):
+@pytest.mark.parametrize("parts,links", [(1, 10**6), (6, 10**6), (6, 20), (6, 3)])
+def test_components(spark, parts, links):
     r = random.Random(parts)
     pairs = [(str(r.randrange(150)), str(r.randrange(150))) for _ in range(110)] + [(f"c{i}", f"c{i + 1}") for i in range(40)]
     df = spark.createDataFrame(pairs + pairs[:5] + [(None, "a"), ("a", None), ("z", "z")], "a string, b string").repartition(parts)
-    got = {x.node: x.root for x in components.components(df, forest_nodes=nodes).collect()}
+    got = {x.node: x.root for x in components.components(df, chunk_links=links).collect()}
     want = {k: v for k, v in brute(pairs).items() if k != v}
     assert got == want
 
