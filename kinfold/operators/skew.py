@@ -1,13 +1,14 @@
 """Per-key results where a few keys hold most rows: heavy keys apart from the rest.
 
 Heavy keys are found with a frequent-items sketch; their list is bounded by its share parameter (at most 1 / share keys),
-is broadcast, and splits the rows. The light keys are grouped by an ordinary shuffle. The rows of heavy keys are spread
-over all tasks by range and the wanted one is found by counting, so no task holds a heavy key.
+is broadcast, and splits the rows. The light keys go through an ordinary shuffle and are ranked by a sort that spills, so
+no key's rows stand in memory together. The rows of heavy keys are spread over all tasks by range and the wanted one is
+found by counting, so no task holds a heavy key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,18 +41,19 @@ def lower_median_rows(df: DataFrame, keys: list[str], order: list[str], share: f
         base = base.where(F.col(c).isNotNull())
     base = base.withColumn("__h", F.xxhash64(*keys))
     heavy = heavy_keys(base, "__h", share)
-    if heavy.isEmpty():
-        return _light(base, keys, order)
     marked = F.broadcast(heavy.select("__h"))  # at most 1 / share rows
     light = _light(base.join(marked, "__h", "left_anti"), keys, order)
     return light.unionByName(_heavy(base.join(marked, "__h", "left_semi"), keys, order))
 
 
 def _light(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One shuffle on the key: a light key's distinct rows fit an array, since its share of all rows is bounded."""
-    item: Column = F.struct(*order)
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("__a"))
-    return got.select(*keys, F.expr("element_at(__a, cast((size(__a) + 1) div 2 as int))").alias("__m")).select(*keys, "__m.*")
+    """One shuffle on the key and one sort. Repeated rows share a rank, so the last rank counts the distinct ones; Spark
+    keeps a few thousand rows of a key in memory to hand the last rank on and spills the rest."""
+    quoted, by = [f"`{c}`" for c in [*keys, *order]], ", ".join(f"`{k}`" for k in keys)
+    inside = f"partition by {by} order by {', '.join(f'`{o}`' for o in order)}"
+    ranked = rows.repartition(*[f"`{k}`" for k in keys]).selectExpr(*quoted, f"dense_rank() over ({inside}) as __r")
+    last = ranked.selectExpr("*", f"max(__r) over (partition by {by}) as __last", f"lag(__r) over ({inside}) as __before")
+    return last.where("__r = (__last + 1) div 2 and not (__before <=> __r)").select(*keys, *order)
 
 
 def _heavy(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -43,3 +43,13 @@ def test_heavy_keys_are_bounded(spark):
     assert [r.h for r in got] == [1] and abs(got[0].rows - 4000) < 100
     with pytest.raises(ValueError):
         heavy_keys(df, "h", 1e-9)
+
+
+def test_light_keys_are_ranked_by_a_sort_that_spills(spark):
+    """Keys just under the share of heavy ones, with repeated rows; no aggregate gathers a key's rows."""
+    r = random.Random(7)
+    rows = [(k, "x", r.randrange(9), r.randrange(5000)) for k in "abcde" for _ in range(4000)]
+    assert run(spark, rows + rows[::3], 0.25) == brute(rows)
+    df = spark.createDataFrame(rows[:50], "k string, v string, w long, i long")
+    plan = lower_median_rows(df, ["k", "v"], ["w", "i"], 0.25)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" not in plan and "Window" in plan
