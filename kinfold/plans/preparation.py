@@ -18,7 +18,7 @@ def utc_month(c: str) -> Column:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    out = packed.split_packed(read(spark, sf, "sam_entities"), "uei", ["all_naics", "psc_codes"])
+    out = packed.split_packed(read(spark, sf, "sam_entities"), "uei", ["all_naics", "psc_codes"], r"[^\W_]")
     return out.select("uei", "field_name", "pos", "value_text").distinct()
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -18,10 +19,10 @@ def brute(text):
     return out
 
 
-def split(spark, texts, extra=""):
+def split(spark, texts, plain=r"[^\W_]"):
     df = spark.createDataFrame([(f"k{i}", t, "x") for i, t in enumerate(texts)], "uei string, codes string, field_name string")
     got = {}
-    for r in split_packed(df, "uei", ["codes"]).collect():
+    for r in split_packed(df, "uei", ["codes"], plain).collect():
         got.setdefault(r.uei, {})[r.pos] = r.value_text
     return [[v for _, v in sorted(got.get(f"k{i}", {}).items())] for i in range(len(texts))]
 
@@ -67,3 +68,16 @@ def test_against_brute_force(spark, fields):
 def test_clashing_columns(spark, columns):
     df = spark.createDataFrame([("u", "1~2", "3", "p", "v")], "uei string, all_naics string, psc_codes string, pos string, value_text string")
     assert len(split_packed(df, "uei", columns).collect()) == len(columns) + 1
+
+
+def test_description_length_decides(spark):
+    """Nothing is known of the values: one delimiter throughout beats the cut at every hyphen, and known codes beat glued ones."""
+    r = random.Random(2)
+    codes = [f"{a}-{b}" for a in ("DK", "SE", "NO") for b in range(38, 48)]
+    fields = [[r.choice(codes) for _ in range(4)] for _ in range(300)]
+    assert split(spark, [";".join(f) for f in fields], None) == fields
+    plain = [[str(100 + r.randrange(60)) for _ in range(r.randrange(1, 7))] for _ in range(900)]
+    texts = ["".join(v + r.choice("~,;|:" if i % 9 == 0 else "~") for v in f)[:-1] for i, f in enumerate(plain)]
+    assert split(spark, texts, None) == plain
+    words = [[r.choice(["Bolt, steel", "Nut, brass", "Pin"]) for _ in range(3)] for _ in range(60)]
+    assert split(spark, [" | ".join(w) for w in words], None) == words
