@@ -1,6 +1,12 @@
+import pickle
 import random
 
-from kinfold.llm.leakage import WuManber, leaked_items, normal_words
+from kinfold.llm import leakage
+from kinfold.llm.leakage import leaked_items, normal_words
+
+
+def WuManber(items, m=leakage.MIN_WORDS):
+    return leakage.WuManber([([i], w) for i, p in items if len(w := normal_words(p)) >= m], m)
 
 
 def brute(text, items, m):
@@ -43,3 +49,19 @@ def test_table(spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE.lower()), (3, "too short"), (4, None), (5, "")], "item_id int, passage string")
     assert sorted(map(tuple, leaked_items(docs, items).collect())) == [(1, 1), (1, 2), (4, 1), (4, 2)]
     assert leaked_items(docs, items.limit(0)).collect() == [] and leaked_items(docs.limit(0), items).collect() == []
+
+
+def test_tables_are_bounded(spark):
+    r = random.Random(5)
+    items = [(i, " ".join(f"{r.choice('abcdef')}word{r.randrange(3000)}" for _ in range(r.randrange(5, 400)))) for i in range(300)] + [(999, " ".join(f"long{i % 7}x{i}" for i in range(9000)))]
+    long = dict(items)[999].split()
+    docs = [(k, " ".join([*p.split()[a : a + n], "end"])) for k, (i, p) in enumerate(items) for a in [r.randrange(max(1, len(p.split()) - 12))] for n in [r.choice([11, 12, 30])]]
+    docs += [(1000 + k, " ".join(long[a : a + 12])) for k, a in enumerate(range(0, 8989, 131))]
+    for most in (1 << 15, 1 << 18, leakage.TABLE_BYTES):
+        df = spark.createDataFrame(items, "item_id int, passage string")
+        blocks = list(leakage._blocks(df, 12, most))
+        assert all(b.nbytes() <= most and len(pickle.dumps(b)) <= most + 10_000 for b in blocks) and (len(blocks) > 1) == (most < 1 << 20)
+        got = {k: {x for b in blocks for x in b.find(t)} for k, t in docs}
+        assert got == {k: brute(t, items, 12) for k, t in docs}
+    small = {tuple(x) for x in leaked_items(spark.createDataFrame(docs[::9], "doc_id long, text string"), df, table_bytes=1 << 18).collect()}
+    assert small == {(k, i) for k, t in docs[::9] for i in brute(t, items, 12)}
