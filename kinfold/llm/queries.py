@@ -88,7 +88,25 @@ n AS (SELECT DISTINCT x AS name FROM (SELECT name_a AS x FROM match_pairs UNION
 r AS (SELECT name, name AS seen FROM n UNION SELECT r.name, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT min(seen) AS group_name, name FROM r GROUP BY name
 """
+def _words_sql(c: str) -> str:
+    """Words as leakage.normal_words defines them, in DuckDB's expressions."""
+    t = rf"replace(lower({c}), '\-', '')"
+    t = rf"regexp_replace({t}, '-[ \t]*\r?\n[\s%]*', '', 'g')"
+    t = rf"regexp_replace({t}, '\\(?:(?:begin|end|label|eqref|ref|pageref|cite[a-z]*)\*?(?:\[[^\]{{}}]*\])*\{{[^{{}}]*\}}|[a-z@]+\*?)', ' ', 'g')"
+    for _ in range(2):  # a digit may stand between two points
+        t = rf"regexp_replace({t}, '(\d)[.,](\d)', '\1\2', 'g')"
+    t = rf"regexp_replace(translate({t}, '‐‑’' || chr(173), ''), '[^\pL\pN_\s\x00-\x7F]+', ' ', 'g')"
+    return rf"regexp_extract_all(translate({t}, '-''', ''), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+
+_P7 = f"""
+WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, {_words_sql('passage')} AS w FROM eval_items),
+p AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12) x),
+r AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12) x)
+SELECT DISTINCT doc_id, item_id FROM r JOIN p USING (run)
+"""
 SQL: dict[str, str] = {
+    "p7_found": _P7,
     "p4_found": _P4_VALUES
     + """SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM l a JOIN l b
     ON a.field_name = b.field_name AND a.look = b.look AND a.key < b.key AND a.value <> b.value""",
