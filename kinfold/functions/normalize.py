@@ -111,27 +111,30 @@ def comparison_form(norm: Column | str) -> Column:
 
 
 def register(spark: SparkSession, function: str = "normalize_name") -> None:
-    """For users of SQL: a temporary SQL function over the same expression."""
-    one, several = decompositions()
-    q = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    t = _SparkText(q)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}(name STRING) RETURNS STRING RETURN {t.normalize('name')}")
+    """For users of SQL: a temporary SQL function that equals normalize_name for every string."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}(name STRING) RETURNS STRING RETURN {_SparkText().normalize('name')}")
 
 
 class _SparkText:
-    """normalize_name for names in ASCII and Latin letters as SQL text."""
+    """normalize_name as SQL text."""
 
-    def __init__(self, q):
-        self.q = q
+    @staticmethod
+    def quote(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def normalize(self, c: str) -> str:
+    def opened(self, c: str) -> str:
+        """fold_unicode: marks dropped, letters mapped one to one, then those that open to several."""
         one, several = decompositions()
-        q = self.q
-        s = f"lower(translate(regexp_replace({c}, '\\\\p{{M}}+', ''), {q(''.join(one))}, {q(''.join(one.values()))}))"
-        for a, b in ATOMIC_LETTERS.items():
-            if len(b) > 1:
-                s = f"replace({s}, {q(a)}, {q(b)})"
-        s = f"trim(regexp_replace(translate(replace({s}, '&', ' and '), {q(DROPPED_CHARACTERS)}, ''), '[^a-z0-9]+', ' '))"
+        q, many = self.quote, "".join(several)
+        table = f"map_from_arrays(split({q(chr(31).join(several))}, '\\u001f'), split({q(chr(31).join(several.values()))}, '\\u001f'))"
+        each = f"array_join(transform(split(m, ''), x -> coalesce({table}[x], x)), '')"
+        mapped = f"translate(regexp_replace({c}, '\\\\p{{M}}+', ''), {q(''.join(one))}, {q(''.join(one.values()))})"
+        return f"transform(array({mapped}), m -> CASE WHEN translate(m, {q(many)}, '') <> m THEN {each} ELSE m END)[0]"
+
+    def normalize(self, c: str) -> str:
+        q = self.quote
+        s = f"replace(lower({self.opened(c)}), '&', ' and ')"
+        s = f"trim(regexp_replace(translate({s}, {q(DROPPED_CHARACTERS)}, ''), '[^a-z0-9]+', ' '))"
         s = f"regexp_replace(regexp_replace({s}, '^0+ ', ''), '^the ((?:[^ ]+ ){{2,}}[^ ]+)$', '$1')"
         s = self.tokens(s, COMPOUND_FORMS)
         s = f"regexp_replace(regexp_replace({s}, '^([^ ]+(?: [^ ]+)*?)(?: (?:{'|'.join(LEGAL_FORMS)}))+$', '$1'), '^(?:(?:{'|'.join(HEAD_FORMS)}) )+', '')"

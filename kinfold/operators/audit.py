@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kinfold.functions.normalize import normalize_name
+from kinfold.session import cut, tasks
 
 
 def changed(raw: Column, norm: Column) -> Column:
@@ -60,15 +61,18 @@ def alias_recall(aliases: DataFrame, entity_col: str, name_col: str) -> DataFram
 
 
 def evenly_spaced(df: DataFrame, order_col: str, k: int = 20) -> DataFrame:
-    """Every n-th row in order, k of them: a sample for reading."""
-    total = df.count()
+    """Every n-th row in order, k of them: a sample for reading. Rows of the same order value come in any order."""
+    n = tasks(df.sparkSession)
+    whole = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(f"`{order_col}`").alias("o"))
+    # two-level numbering: partitions of a range, then rows within; written once, so both readers below see the same
+    placed = cut(whole.repartitionByRange(n, "o").sortWithinPartitions("o").withColumn("m", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.expr("m >> 33 as p")).agg(F.count("*").alias("n"))  # a row per partition
+    total = counts.agg(F.sum("n")).head()[0] or 0
     step = max(1, total // k)
-    # two-level numbering: partitions of a range, then rows within
-    ranged = df.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("__m", F.monotonically_increasing_id())
-    counts = ranged.groupBy((F.shiftright("__m", 33)).alias("__p")).count().selectExpr("__p", "sum(count) over (order by __p) - count as __before")
-    numbered = ranged.withColumn("__p", F.shiftright("__m", 33)).join(F.broadcast(counts), "__p")
-    row = F.expr("__before + (__m & 8589934591)")
-    return numbered.where((row % step == 0) & (row < step * k)).drop("__m", "__p", "__before")
+    before = counts.selectExpr("p", "sum(n) over (order by p) - n as before")
+    at = F.expr("before + (m & 8589934591)")
+    numbered = placed.withColumn("p", F.expr("m >> 33")).join(F.broadcast(before), "p")
+    return numbered.where((at % step == 0) & (at < step * k)).select("row.*")
 
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions import grams
+from kinfold.functions import grams, normalize
 from kinfold.functions.normalize import comparison_form, duckdb_normalize, normalize_name, truncate_bytes
 from kinfold.operators import audit, blocking, cluster, companions, features, generate, graph, scoring
 from kinfold.plans import jobs
@@ -75,6 +75,12 @@ def normalize_truncated(spark, sf):
     return names(spark, sf).select("row_id", normalize_name(truncate_bytes("name", 12)).alias("norm"))
 
 
+def normalize_sql(spark, sf):
+    """The SQL function over all registers."""
+    normalize.register(spark)
+    return register_names(spark, sf).selectExpr("source", "key", "normalize_name(name) as norm")
+
+
 def comparison_forms(spark, sf):
     return names(spark, sf).select("row_id", comparison_form(normalize_name("name")).alias("form"))
 
@@ -285,6 +291,11 @@ def audit_sample(spark, sf):
     return audit.evenly_spaced(rows.where(audit.changed(F.col("name"), F.col("norm"))).select("row_id", "name", "norm"), "row_id")
 
 
+def sample_evenly(spark, sf):
+    """Twenty evenly spaced documents: wide rows, which adaptive execution would part otherwise at each reading."""
+    return audit.evenly_spaced(read(spark, sf, "documents"), "doc_id").select("doc_id", "source", "n_chars", "text")
+
+
 def seeded_sample(spark, sf):
     return audit.seeded_sample(names(spark, sf).where("name is not null"), ["row_id"], 200).select("row_id", "name")
 
@@ -425,6 +436,7 @@ _SAMPLED = """, r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY
 SQL = {
     "normalize_names": f"{_BASE} SELECT row_id, norm FROM nn",
     "normalize_registers": f"SELECT source, key, {_N('name')} AS norm FROM ({_REGISTERS}) t",
+    "normalize_sql": f"SELECT source, key, {_N('name')} AS norm FROM ({_REGISTERS}) t",
     "normalize_truncated": f"{_BASE} SELECT row_id, {_N('substr(name, 1, 12)')} AS norm FROM names",
     "comparison_forms": f"{_BASE} SELECT row_id, replace(norm, ' ', '') AS form FROM nn",
     "ngram_bag": f"{_BASE}{_GRAMS} SELECT id, CAST(pos AS INTEGER) AS pos, gram FROM bag",
@@ -497,6 +509,8 @@ SQL = {
     "audit_head_tokens": _tokens_sql(False),
     "audit_sample": _BASE + """, c AS (SELECT row_id, name, norm, row_number() OVER (ORDER BY row_id) - 1 AS k, count(*) OVER () AS n FROM nn WHERE norm <> '' AND lower(trim(name)) <> norm)
       SELECT row_id, name, norm FROM c WHERE k % greatest(1, n // 20) = 0 AND k < greatest(1, n // 20) * 20""",
+    "sample_evenly": """WITH c AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
+      SELECT doc_id, source, n_chars, text FROM c WHERE k % greatest(1, n // 20) = 0 AND k < greatest(1, n // 20) * 20""",
     "dba_alias_rows": """SELECT uei AS entity_id, 'Entity' AS entity_type, true AS is_primary, 'PRIMARY' AS alias_type, legal_name AS name FROM sam_entities WHERE length(legal_name) > 0
       UNION ALL SELECT uei, 'Entity', false, 'DBA', dba_name FROM sam_entities WHERE length(dba_name) > 0 AND dba_name <> legal_name""",
     "partition_roundtrip": f"{_BASE} SELECT row_id, block, name FROM names WHERE block IS NOT NULL",
@@ -553,7 +567,7 @@ SQL["stream_assign"] = SQL["cluster_register"].replace(
 )
 
 QUERIES = {
-    "normalize_names": normalize_names, "normalize_registers": normalize_registers, "normalize_truncated": normalize_truncated, "comparison_forms": comparison_forms,
+    "normalize_names": normalize_names, "normalize_registers": normalize_registers, "normalize_sql": normalize_sql, "normalize_truncated": normalize_truncated, "comparison_forms": comparison_forms,
     "ngram_bag": ngram_bag, "ngram_set": ngram_set, "alias_rewrite": alias_rewrite, "unique_names": unique_names, "gram_idf": gram_idf, "tfidf_vectors": tfidf_vectors,
     "minhash_signature": minhash_signature, "minhash_expression": minhash_expression, "lsh_buckets": lsh_buckets, "lsh_pairs": lsh_pairs, "candidates": candidates,
     "pair_scores_exact": pair_scores_exact, "threshold_edges": threshold_edges, "degrees": degrees, "connected_components": connected_components, "hub_pick": hub_pick,
@@ -562,5 +576,5 @@ QUERIES = {
     "cluster_threshold_sweep": cluster_threshold_sweep, "cluster_sizes_top": cluster_sizes_top, "explain_edges": explain_edges, "acronym_map": acronym_map, "score_clusters": score_clusters,
     "lsh_calibrate_grid": lsh_calibrate_grid, "score_buckets": score_buckets, "bucket_distribution": bucket_distribution, "bucket_sample": bucket_sample, "context_join": context_join,
     "evaluation_set": evaluation_set, "audit_stats": audit_stats, "audit_collisions": audit_collisions, "audit_alias_recall": audit_alias_recall, "audit_tail_tokens": audit_tail_tokens,
-    "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "seeded_sample": seeded_sample, "partition_values": partition_values, "stream_assign": stream_assign, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples,
+    "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "sample_evenly": sample_evenly, "seeded_sample": seeded_sample, "partition_values": partition_values, "stream_assign": stream_assign, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples,
 }

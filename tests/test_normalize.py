@@ -32,8 +32,12 @@ def test_null_stays_null(spark):
 
 def test_sql_function(spark):
     N.register(spark)
-    got = spark.createDataFrame([(k,) for k in GOLDEN if k.isascii()], "name string").selectExpr("name", "normalize_name(name) as n").collect()
-    assert {r.name: r.n for r in got if r.n != GOLDEN[r.name]} == {}
+    odd = ["Oﬃce ﬁeld Ltd", "Louis Ⅲ Inc", "№ 5 Co GmbH", "ＡＢＣ ｆoo", "Æsir ẞ", "İstanbul ŞTİ", "a҈b é", "½ x", "㎏ y", "日本 ㍿", "ǅ z"]
+    got = spark.createDataFrame([(k,) for k in [*GOLDEN, *odd]], "name string").select("name", F.expr("normalize_name(name)").alias("n"), N.normalize_name("name").alias("e")).collect()
+    assert {r.name: r.n for r in got if r.n != GOLDEN.get(r.name, r.e)} == {}
+    assert {r.name: r.n for r in got if r.name in odd[:3]} == {"Oﬃce ﬁeld Ltd": "office field", "Louis Ⅲ Inc": "louis iii", "№ 5 Co GmbH": "no 5"}
+    letters = spark.createDataFrame([("q" + chr(c) + "r",) for c in range(1, 0x1FFFF, 3) if not 0xD800 <= c < 0xE000], "name string")
+    assert letters.where(~F.expr("normalize_name(name)").eqNullSafe(N.normalize_name("name"))).count() == 0
 
 
 def test_duckdb_agrees():

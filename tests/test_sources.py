@@ -92,3 +92,13 @@ def test_report_writes_all_rows_or_none(spark, tmp_path):
     assert not list(tmp_path.iterdir())
     sinks.report({"full": spark.range(100)}, *paths)
     assert len(json.loads((tmp_path / "r.json").read_text())["full"]) == 100
+
+
+def test_evenly_spaced_rows_of_wide_tables(spark):
+    from kinfold.operators import audit
+
+    rows = spark.range(60_000).selectExpr("(id * 7919) % 60000 as n", "repeat(cast(id as string), 120) as wide", "id as __before")
+    got = sorted(r.n for r in audit.evenly_spaced(rows, "n").collect())
+    assert got == list(range(0, 60_000, 3000))
+    assert audit.evenly_spaced(rows.limit(0), "n").collect() == []
+    assert len(audit.evenly_spaced(rows.where("n < 7"), "n").collect()) == 7
