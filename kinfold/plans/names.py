@@ -12,7 +12,7 @@ from kinfold.functions import grams, normalize
 from kinfold.functions.normalize import comparison_form, duckdb_normalize, normalize_name, truncate_bytes
 from kinfold.operators import audit, blocking, cluster, companions, features, generate, graph, scoring
 from kinfold.plans import jobs
-from kinfold.session import cut, tables_root
+from kinfold.session import cut, folder
 
 _NAMES = """
 SELECT p_partkey AS row_id, p_brand AS block,
@@ -306,12 +306,10 @@ def partition_values(spark, sf):
 
 def stream_assign(spark, sf):
     """The typed names as a stream, assigned to the clusters of the register."""
-    import uuid
-
     from kinfold.sources import sinks
     from kinfold.streaming import assign
 
-    base = f"{tables_root(spark)}/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     sinks.parquet(assign.cluster_table(cluster.cluster(read(spark, sf, "gleif"), "legal_name"), "legal_name"), f"{base}/known")
     typed = read(spark, sf, "name_records")
     arrivals = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/name_records.parque[t]")
@@ -326,9 +324,7 @@ def dba_alias_rows(spark, sf):
 def partition_roundtrip(spark, sf):
     from kinfold.sources import sinks
 
-    import uuid
-
-    path = f"{tables_root(spark)}/partitions-{uuid.uuid4().hex}"
+    path = folder(spark, "partitions")
     sinks.partitioned(names(spark, sf).select("row_id", "block", "name"), path, "block")
     sinks.partitioned(names(spark, sf).select("row_id", "block", "name"), path, "block", skip_existing=True)  # finds all of them
     return spark.read.parquet(path).select("row_id", F.col("block").cast("string").alias("block"), "name")

@@ -7,11 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     return (
@@ -42,25 +43,59 @@ def tables_root(spark: SparkSession) -> str:
     return base
 
 
+#: Folders made by folder() and not deleted so far.
+_KEPT: dict[str, None] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder. It is deleted by release(), at the end of its scope(), or else when the application
+    ends."""
+    path = f"{tables_root(spark)}/kinfold-{kind}-{uuid.uuid4().hex}"
+    p, fs = _file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    _KEPT[path] = None
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and return its scan: later reads recompute nothing
     and survive the loss of executors."""
     spark = df.sparkSession
-    path = f"{tables_root(spark)}/kinfold-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+    _KEPT.pop(path, None)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table made by cut() that nothing reads any more."""
-    path = getattr(df, "_kinfold_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if (path := getattr(df, "_kinfold_path", None)) is not None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Operators give results that still read tables of cut(). Run and read a query inside a scope, and those tables are
+    deleted where it ends:  with scope(spark): cluster(df).write.parquet(target)"""
+    before = set(_KEPT)
+    try:
+        yield
+    finally:
+        for path in [p for p in _KEPT if p not in before]:
+            _delete(spark, path)
 
 
 def tasks(spark: SparkSession) -> int:
