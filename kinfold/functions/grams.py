@@ -75,6 +75,43 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (k ^ (k >> np.uint64(29))).view(np.int64)
 
 
+class Grams:
+    """All grams of a batch of texts in numpy: the text and the code of each place a gram starts at.
+
+    Codes tell grams apart: seven bits a character for ASCII texts and up to nine characters, in the order of the grams;
+    else a hash of 64 bits."""
+
+    def __init__(self, texts: list[str], n: int):
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.joined, self.n = "".join(texts), n
+        points = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters up to the text's end
+        self.at = np.flatnonzero(left >= n)
+        self.text = np.repeat(np.arange(len(texts)), lengths)[self.at]
+        short = n <= 9 and self.joined.isascii()
+        code = np.zeros(len(self.at), np.int64)
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                c = points[self.at + i]
+                code = (code << 7) | c if short else code * np.int64(6364136223846793005) + c * np.int64(1442695040888963407) + np.int64(1 << 62)
+        self.codes, first, self.which = np.unique(code, return_index=True, return_inverse=True)
+        self.first = self.at[first]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in codes, times) of each distinct gram of each text, by text and code."""
+        both, times = np.unique(self.text * max(1, len(self.codes)) + self.which, return_counts=True)
+        return both // max(1, len(self.codes)), both % max(1, len(self.codes)), times
+
+    def signatures(self, signer: Signer) -> tuple[np.ndarray, np.ndarray]:
+        """(texts that have grams, their signatures)."""
+        if not len(self.at):
+            return np.zeros(0, np.int64), np.zeros((0, len(signer.a)), np.int64)
+        h = np.fromiter((gram_hash_of(self.joined[p : p + self.n]) for p in self.first), np.int64, len(self.first))
+        permuted = ((signer.a * h + signer.b) % PRIME).astype(np.int32).T.copy()
+        start = np.flatnonzero(np.diff(self.text, prepend=-1))
+        return self.text[start], np.minimum.reduceat(permuted[self.which], start, axis=0).astype(np.int64)
+
+
 def estimate_jaccard(a: Column, b: Column) -> Column:
     """Share of equal positions of two signatures."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)

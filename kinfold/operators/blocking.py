@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.functions.grams import Signer, band_keys
+from kinfold.functions.grams import Grams, Signer, band_keys
+from kinfold.operators.features import NAMES_OF_A_STEP
 from kinfold.session import tasks
 
 
@@ -31,9 +31,10 @@ def lsh_buckets(uniques: DataFrame, n: int = 3, bands: int = 32, rows: int = 4,
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(n, bands * rows, seed)
         for b in batches:
-            if len(b):
-                k = band_keys(np.stack([signer(t) for t in b["form"]]), bands, rows)
-                yield pd.DataFrame({"id": b["id"], "block": b["block"], "keys": list(k)})
+            for at in range(0, len(b), NAMES_OF_A_STEP):
+                part = b.iloc[at : at + NAMES_OF_A_STEP]
+                _, sigs = Grams(part["form"].tolist(), n).signatures(signer)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "block": part["block"].to_numpy(), "keys": list(band_keys(sigs, bands, rows))})
 
     # a small table would come in few files: names are spread over all tasks before each becomes bands rows
     spread = uniques.where(F.length("form") >= n).select("id", "block", "form").repartition(tasks(uniques.sparkSession))
@@ -42,14 +43,16 @@ def lsh_buckets(uniques: DataFrame, n: int = 3, bands: int = 32, rows: int = 4,
 
 
 def lsh_pairs(buckets: DataFrame) -> DataFrame:
-    """(block, a, b), a < b: names that share a bucket. buckets should be a table, as both sides read it. If it has prefix
-    (features.tfidf_vectors), pairs that can't reach its score are left out before they are made distinct."""
-    left = buckets.withColumnsRenamed({"id": "a", "prefix": "pa"})
-    right = buckets.withColumnsRenamed({"id": "b", "prefix": "pb"})
-    pairs = left.join(right, ["block", "band", "bucket"]).where("a < b")
-    if "prefix" in buckets.columns:
-        pairs = pairs.where(F.arrays_overlap("pa", "pb"))
-    return pairs.select("block", "a", "b").distinct()
+    """(block, a, b), a < b: names that share a bucket (block, bucket and band, whichever are there; no block where there is
+    none). If buckets has masks (features.profiles), pairs that share none of their rarest grams, and so can't reach the
+    score, are left out before they are made distinct."""
+    left = buckets.withColumnsRenamed({"id": "a", "mask1": "a1", "mask2": "a2"})
+    right = buckets.withColumnsRenamed({"id": "b", "mask1": "b1", "mask2": "b2"})
+    by = [c for c in ("block", "band", "bucket") if c in buckets.columns]
+    pairs = left.join(right, by).where("a < b")
+    if "mask1" in buckets.columns:
+        pairs = pairs.where("(a1 & b1) <> 0 and (a2 & b2) <> 0")
+    return pairs.select(*by[: "block" in by], "a", "b").distinct()
 
 
 def gramless_pairs(uniques: DataFrame, n: int) -> DataFrame:

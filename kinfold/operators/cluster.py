@@ -37,9 +37,8 @@ def dense_ids(canonicals: DataFrame) -> DataFrame:
 
 def cluster_names_table(uniques: DataFrame, edges: DataFrame, hub_radius_max: int = 2, diameter_check_min_size: int = 5) -> DataFrame:
     """(block, norm, cluster_id, canonical_name, flagged, cluster_size) from unique names and scored edges."""
-    nodes = graph.connected_components(edges).join(graph.degrees(edges), "id").join(uniques.select("id", "norm", "block"), "id")
-    nodes = cut(nodes)
-    pieces = cut(graph.split_wide(nodes, edges, hub_radius_max, diameter_check_min_size).join(nodes.select("id", "norm", "degree", "block"), "id"))
+    nodes = cut(graph.connected_components(edges).join(graph.degrees(edges), "id").join(uniques.select("id", "norm"), "id"))
+    pieces = graph.split_wide(nodes, edges, hub_radius_max, diameter_check_min_size).join(nodes.select("id", "norm", "degree"), "id")
     hubs = pieces.groupBy("piece").agg(F.expr("min_by(norm, struct(-degree, norm))").alias("canonical"))
     linked = pieces.join(hubs, "piece").select("id", "canonical", "flagged")
     named = cut(uniques.join(linked, "id", "left").select("block", "norm", F.coalesce("canonical", "norm").alias("canonical"), F.coalesce("flagged", F.lit(False)).alias("flagged")))

@@ -100,8 +100,8 @@ def _rank(node: str) -> Column:
 
 
 def components(links: DataFrame, chunk_links: int = CHUNK_LINKS) -> DataFrame:
-    """(node, root) of every linked node but the roots, from links (u, v), two columns of strings or of longs; root is the
-    smallest node of the component. Nulls link nothing, nor does a link of a node with itself; repeated links count once."""
+    """(node, root) of every linked node but the roots, as a table, from links (u, v), two columns of strings or of longs;
+    root is the smallest node of the component. Nulls link nothing, nor does a link of a node with itself; repeated links count once."""
     u, v = links.columns
     kind = dict(links.dtypes)[u].replace("bigint", "long")
     links = links.toDF("u", "v").where("u is not null and v is not null and u <> v").mapInArrow(_local(chunk_links), f"u {kind}, v {kind}")
@@ -137,4 +137,6 @@ def components(links: DataFrame, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     # a root is the last representative so far: now the smallest node
     names = found.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("first"))
     every = found.unionByName(names.selectExpr("root as node", "root"))
-    return every.join(names, "root").selectExpr("node", "first as root").where("node <> root")
+    named = cut(every.join(names, "root").selectExpr("node", "first as root").where("node <> root"))
+    release(found)
+    return named

@@ -15,7 +15,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of all nodes with an edge; component is the smallest node of it. See forest.components."""
-    new = cut(forest.components(edges.selectExpr("cast(a as long) as a", "cast(b as long) as b")))
+    new = forest.components(edges.selectExpr("cast(a as long) as a", "cast(b as long) as b"))
     return new.selectExpr("node as id", "root as component").unionByName(new.selectExpr("root as id", "root as component").distinct())
 
 
@@ -56,22 +56,26 @@ def split_wide(nodes: DataFrame, edges: DataFrame, radius_max: int = 2, min_size
     radius_max keeps the near nodes; the far ones fall into the components that edges among them leave, and each of those
     is looked at again. Degrees and distances are those of the whole graph. All by joins: a wide component is never
     gathered in a task."""
-    ways = cut(both_ways(edges))
-    whole = nodes.groupBy("component").agg(F.count("*").alias("whole"))
-    work = nodes.join(whole, "component").selectExpr("id", "component as piece", "norm", "degree", "whole", "false as flagged")
-    final = None
+    big = nodes.groupBy("component").agg(F.count("*").alias("whole"), F.max("degree").alias("most")).where(F.col("whole") >= min_size)
+    # a hub next to all others reaches them
+    big = cut(big.where(F.col("most") < F.col("whole") - 1) if radius_max >= 1 else big)
+    alone = nodes.selectExpr("id", "component as piece", "false as flagged")
+    if big.isEmpty():
+        return alone
+    work = nodes.join(big, "component").selectExpr("id", "component as piece", "norm", "degree", "whole", "false as flagged")
+    final = alone.join(big.select(F.col("component").alias("piece")), "piece", "left_anti").select("id", "piece", "flagged")
+    ways = cut(both_ways(edges.join(work.selectExpr("id as a"), "a", "left_semi")))
     while True:
-        big = work.groupBy("piece").agg(F.count("*").alias("n"), hub_of().alias("id"), F.min("whole").alias("whole")).where(F.col("n") >= min_size)
-        near = cut(reach(big, ways, radius_max))
+        large = work.groupBy("piece").agg(F.count("*").alias("n"), hub_of().alias("id"), F.min("whole").alias("whole")).where(F.col("n") >= min_size)
+        near = cut(reach(large, ways, radius_max))
         # all that the hub reaches is its whole component: it is wide if that is more than the near nodes
-        wide = cut(near.groupBy("piece").agg(F.count("*").alias("near")).join(big, "piece").where("near < whole").select("piece"))
+        wide = cut(near.groupBy("piece").agg(F.count("*").alias("near")).join(large, "piece").where("near < whole").select("piece"))
         rest = work.select("id", "piece", "flagged")
         if wide.isEmpty():
-            return rest if final is None else final.unionByName(rest)
+            return final.unionByName(rest)
         done = rest.join(wide, "piece", "left_anti")
         marked = cut(work.join(wide, "piece", "left_semi").join(near.withColumn("near", F.lit(True)), ["piece", "id"], "left"))
-        done = done.unionByName(marked.where("near").select("id", "piece", F.lit(True).alias("flagged")))
-        final = done if final is None else final.unionByName(done)
+        final = final.unionByName(done).unionByName(marked.where("near").select("id", "piece", F.lit(True).alias("flagged")))
         far = marked.where("near is null").select("id", "piece", "norm", "degree", "whole")
         inside = ways.where("src < dst").join(far.selectExpr("id as src", "piece"), "src").join(far.selectExpr("id as dst", "piece as other"), "dst")
         parts = connected_components(inside.where("piece = other").selectExpr("src as a", "dst as b"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.grams import ngrams
 from kinfold.functions.normalize import let
-from kinfold.operators.blocking import gramless_pairs, lsh_buckets, lsh_pairs
-from kinfold.operators.features import tfidf_vectors
+from kinfold.operators.blocking import gramless_pairs, lsh_pairs
+from kinfold.operators.features import profiles, tfidf_vectors
 from kinfold.session import cut, release
 
 #: Scores are compared after rounding, so sums of floating numbers can't move a pair over a threshold.
@@ -16,19 +16,19 @@ DIGITS = 6
 
 
 def dot(a: str, b: str):
-    """Sum over the entries of vector a, in their order, so it is the same in every run."""
+    """Sum over the entries of a, in their order, so it is the same in every run."""
     # the map is built once per pair, not once per entry
     return let(
-        F.map_from_entries(b),
-        lambda other: F.aggregate(F.col(a), F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(other, e["gram"]), F.lit(0.0))),
+        F.map_from_arrays(f"grams_{b}", f"weights_{b}"),
+        lambda other: F.aggregate(F.arrays_zip(f"grams_{a}", f"weights_{a}"), F.lit(0.0), lambda s, e: s + e[f"weights_{a}"] * F.coalesce(F.try_element_at(other, e[f"grams_{a}"]), F.lit(0.0))),
     )
 
 
-def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the score of their vectors; a name without vector scores 0."""
-    va, vb = vectors.selectExpr("id as a", "vec as va"), vectors.selectExpr("id as b", "vec as vb")
-    joined = pairs.join(va, "a", "left").join(vb, "b", "left")
-    return joined.withColumn("score", F.round(F.coalesce(dot("va", "vb"), F.lit(0.0)), DIGITS)).drop("va", "vb")
+def score_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(block, a, b, score) of pairs (a, b) whose vectors (features.profiles) are in one block."""
+    side = lambda s: profiles.selectExpr(f"id as {s}", f"block as block_{s}", f"grams as grams_{s}", f"weights as weights_{s}")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where("block_a = block_b")
+    return joined.select(F.col("block_a").alias("block"), "a", "b", F.round(dot("a", "b"), DIGITS).alias("score"))
 
 
 def scored_candidates(uniques: DataFrame, min_score: float, n: int = 3, bands: int = 32, rows: int = 4, seed: int = 0) -> DataFrame:
@@ -39,17 +39,14 @@ def scored_candidates(uniques: DataFrame, min_score: float, n: int = 3, bands: i
         raise ValueError("ngram_size, lsh_bands and lsh_rows must be at least 1")
     enough = uniques.groupBy("block").agg(F.count("*").alias("n")).where("n >= 3").select("block")
     names = uniques.join(enough, "block", "left_semi")
-    buckets = lsh_buckets(names, n, bands, rows, seed)
-    if min_score > 0:
-        vectors = cut(tfidf_vectors(names, n, min_score))
-        buckets = cut(buckets.join(vectors.select("id", "prefix"), "id"))
-        pairs = lsh_pairs(buckets)
-    else:
-        vectors, buckets = cut(tfidf_vectors(names, n)), cut(buckets)
-        pairs = lsh_pairs(buckets).unionByName(gramless_pairs(names, n))
-    scored = cut(score_pairs(pairs, vectors.select("id", "vec")).where(F.col("score") >= min_score))
-    release(buckets)
-    release(vectors)
+    known = cut(profiles(names, n, bands, rows, seed, min_score if min_score > 0 else None))
+    # keys of different bands differ: a pair is found by one number, and blocks are compared once more with the vectors
+    buckets = known.select("block", F.explode("keys").alias("key"), "id", "mask1", "mask2").select(F.xxhash64("block", "key").alias("bucket"), "id", "mask1", "mask2")
+    scores = score_pairs(lsh_pairs(buckets), known)
+    if min_score == 0:
+        scores = scores.unionByName(gramless_pairs(names, n).withColumn("score", F.lit(0.0)))
+    scored = cut(scores.where(F.col("score") >= min_score))
+    release(known)
     return scored
 
 

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +163,55 @@ def test_diagnostics(spark):
     rows = {r.pos: r for r in cluster(frame(spark), order_col="pos", threshold=0.4, diagnostics=True).collect()}
     assert rows[0].normalized_name == "ibm" and rows[0].cluster_size == 1 and not rows[0].flagged
     assert rows[4].cluster_size == 2 and rows[6].cluster_size is None
+
+
+def test_profiles_beyond_the_vocabulary_bound_give_the_same_scores(spark):
+    from kinfold.operators import features, scoring
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdehilmnor") for _ in range(5)) for _ in range(12)]
+    rows = [(i, r.choice(["x", "y"]), " ".join(r.sample(words, 3)) + r.choice(["", "a", "s"])) for i in range(160)]
+    u = spark.createDataFrame([(i, b, n, n.replace(" ", "")) for i, b, n in rows], "id long, block string, norm string, form string")
+    short = spark.createDataFrame([(900, "x", "q", "q"), (901, "x", "w", "w")], u.schema)
+    for least in (0.0, 0.3, 0.5):
+        got = []
+        for most in (features.MAX_VOCABULARY, 5):
+            known = features.profiles(u.unionByName(short), 3, prefix_for=least or None, max_vocabulary=most)
+            assert known.select("id").distinct().count() == known.count() == 160
+            buckets = known.select("block", F.explode("keys").alias("bucket"), "id", "mask1", "mask2")
+            got.append({tuple(x) for x in scoring.score_pairs(blocking.lsh_pairs(buckets), known).where(F.col("score") >= least).collect()})
+        assert got[0] == got[1] and got[0]
+        whole = {(x.block, x.a, x.b, x.score) for x in scoring.scored_candidates(u.unionByName(short), least).collect()}
+        assert whole == got[0] | ({("x", 900, 901, 0.0)} if least == 0 else set())
+
+
+def test_grams_of_other_letters(spark):
+    from kinfold.functions.grams import Grams, Signer
+
+    texts = ["añb日本語añb", "ab", "", "xyzxyz", "日本語"]
+    for n in (1, 3, 12):
+        g = Grams(texts, n)
+        name, code, times = g.counts()
+        got = {(t, g.joined[p : p + n], k) for t, p, k in zip(name.tolist(), g.first[code].tolist(), times.tolist())}
+        assert got == {(i, t[j : j + n], sum(t[k : k + n] == t[j : j + n] for k in range(len(t) - n + 1))) for i, t in enumerate(texts) for j in range(len(t) - n + 1)}
+        who, sigs = g.signatures(Signer(n, 8))
+        assert [s.tolist() for s in sigs] == [Signer(n, 8)(texts[i]).tolist() for i in who]
+
+
+def every(edit, name, n=400):
+    r = np.random.default_rng(1)
+    return {generate.EDITS[edit](name, r) for _ in range(n)}
+
+
+def test_edits():
+    assert every("other form", "Inc") == {"Inc"} and every("other form", "Acme, inc.") == {f"Acme, {s}" for s in generate.SUFFIXES if s != "Inc"}
+    assert every("no form", "Acme Ltd.") == {"Acme"} and every("no form", "Ltd") == {"Ltd"}
+    assert every("abbreviation", "Intl, Foods (Group)") == {"International Foods (Group)"}
+    assert every("abbreviation", "Acme Tech; Mfg") == {"Acme Technologies Mfg", "Acme Tech; Manufacturing"} and every("abbreviation", "Acme") == {"Acme"}
+    assert every("letters", "IBM, of Armonk") == {"I B M of Armonk", "IBM, o f Armonk"} and every("letters", "A4 x") == {"A4 x"}
+    assert every("comma", "Acme, Foods Inc") == {"Acme Foods Inc", "Acme, Foods, Inc"} and every("comma", "Acme Inc") == {"Acme, Inc"} and every("comma", "Acme, Inc") == {"Acme Inc", "Acme, Inc"}
+    assert every("word", "a b") == {"a b"} and every("word", "a b c d") == {"a c d", "a b d"}
+    assert every("the", "THE Acme") == {"Acme"} and every("the", "Theory") == {"The Theory"} and every("accents", "Café") == {"Cafe"}
+    typos = every("typo", "abcd", 4000)
+    assert {"abd", "abdc", "abzcd", "abzd"} <= typos and all(t.startswith("ab") for t in typos) and every("typo", "abc") == {"abc"}
+    assert len(typos) == 1 + 1 + 26 + 26
