@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinfold.functions.normalize import let
+
 PRIME = 2**31 - 1
 MAX_PERMUTATIONS = [16, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]  # fixed values of the calibration's grid
 
@@ -42,12 +44,10 @@ def coefficients(permutations: int, seed: int = 0) -> list[tuple[int, int]]:
 
 def minhash(grams: Column, permutations: int, seed: int = 0) -> Column:
     """Signature of a gram set as an expression; of an empty set all PRIME. For big tables take signature()."""
-    hashes = F.transform(grams, gram_hash)
-
-    def least(a: int, b: int) -> Column:
-        return F.coalesce(F.array_min(F.transform(hashes, lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME))), F.lit(PRIME).cast("long"))
-
-    return F.array(*[least(a, b) for a, b in coefficients(permutations, seed)])
+    ab = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in coefficients(permutations, seed)])
+    least = lambda c, hashes: F.coalesce(F.array_min(F.transform(hashes, lambda h: (h * c["a"] + c["b"]) % F.lit(PRIME))), F.lit(PRIME).cast("long"))
+    # the grams are hashed once, not once for each permutation
+    return let(F.transform(grams, gram_hash), lambda hashes: F.transform(ab, lambda c: least(c, hashes)))
 
 
 class Signer:

@@ -36,6 +36,24 @@ def stats(df: DataFrame, name_col: str) -> DataFrame:
     )
 
 
+def describe(df: DataFrame, name_col: str) -> DataFrame:
+    """(measure, n, n_null, mean, std, min, p25, p50, p75, max) of the lengths ('chars') and words ('words') of the forms;
+    names without a form count as null. Quartiles lie between two values where the place does."""
+    form = F.when(F.col("norm") != "", F.col("norm"))
+    pair = lambda name, value: F.struct(F.lit(name).alias("measure"), F.when(form.isNotNull(), value).alias("x"))
+    long = normalized(df, name_col).select(F.explode(F.array(pair("chars", F.length(form)), pair("words", F.size(F.split(form, " "))))).alias("r")).select("r.*")
+    # counts by value first: lengths are few, so the quartiles' table of values stays small
+    cells = long.groupBy("measure", "x").agg(F.count("*").alias("k"))
+    at = lambda q: F.expr(f"percentile(x, {q}, k)")
+    k, x = F.when(F.col("x").isNotNull(), F.col("k")).otherwise(0), F.col("x").cast("double")
+    n, total, square = F.sum(k), F.sum(F.col("k") * x), F.sum(F.col("k") * x * x)
+    return cells.groupBy("measure").agg(
+        n.alias("n"), F.sum(F.when(F.col("x").isNull(), F.col("k")).otherwise(0)).alias("n_null"), F.round(total / n, 6).alias("mean"),
+        F.round(F.sqrt(F.greatest(F.lit(0.0), (square - total * total / n) / F.nullif(n - 1, F.lit(0)))), 6).alias("std"),
+        F.min("x").alias("min"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max("x").alias("max"),
+    )
+
+
 def collisions(df: DataFrame, name_col: str, top: int = 100) -> DataFrame:
     """(norm, n): the forms that most names share."""
     return normalized(df, name_col).where("norm <> ''").groupBy("norm").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "norm").limit(top)
@@ -49,8 +67,14 @@ def edge_tokens(df: DataFrame, name_col: str, last: bool, top: int = 50) -> Data
     return rows.where("token <> ''").groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(top)
 
 
-def alias_recall(aliases: DataFrame, entity_col: str, name_col: str) -> DataFrame:
+def of_type(df: DataFrame, entity_type: str | None, type_col: str = "entity_type") -> DataFrame:
+    """Rows of one type of entity, all rows if none is asked for."""
+    return df if entity_type is None else df.where(F.col(f"`{type_col}`") == entity_type)
+
+
+def alias_recall(aliases: DataFrame, entity_col: str, name_col: str, entity_type: str | None = None) -> DataFrame:
     """One row: of all pairs of names of an entity, how many share their normalized form."""
+    aliases = of_type(aliases, entity_type)
     forms = aliases.select(F.col(entity_col).alias("e"), normalize_name(F.col(name_col)).alias("norm")).where("norm <> ''")
     cells = forms.groupBy("e", "norm").agg(F.count("*").alias("n"))
     each = cells.groupBy("e").agg(F.sum("n").alias("k"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"), F.count("*").alias("forms")).where("k >= 2")
@@ -60,6 +84,30 @@ def alias_recall(aliases: DataFrame, entity_col: str, name_col: str) -> DataFram
     )
 
 
+def apart(aliases: DataFrame, entity_col: str, name_col: str, entity_type: str | None = None, top: int = 10) -> DataFrame:
+    """(entity_id, norm, n) of the first entities, by id, whose names have more than one form."""
+    forms = of_type(aliases, entity_type).select(F.col(f"`{entity_col}`").alias("entity_id"), normalize_name(F.col(f"`{name_col}`")).alias("norm")).where("norm <> ''")
+    cells = forms.groupBy("entity_id", "norm").agg(F.count("*").alias("n"))
+    several = cells.groupBy("entity_id").agg(F.count("*").alias("k")).where("k > 1").orderBy("entity_id").limit(top)
+    return cells.join(several.select("entity_id"), "entity_id").orderBy("entity_id", "norm")
+
+
+def audit(df: DataFrame, name_col: str, order_col: str, entity_col: str | None = None, entity_type: str | None = None) -> dict[str, DataFrame]:
+    """All reports on one table of names, each a small DataFrame: what sinks.report writes as Markdown and JSON. With
+    entity_col also the recall among each entity's names."""
+    df = of_type(df, entity_type)
+    n = df.where(F.length(f"`{name_col}`") > 0).select(F.col(f"`{order_col}`").alias("row"), F.col(f"`{name_col}`").alias("raw"), normalize_name(F.col(f"`{name_col}`")).alias("norm"))
+    out = {
+        "counts": stats(df, name_col), "lengths": describe(df, name_col), "collisions": collisions(df, name_col),
+        "empty": n.where("norm = ''").orderBy("row").limit(20), "one_character": n.where("length(norm) = 1").orderBy("row").limit(20),
+        "changed": evenly_spaced(n.where(changed(F.col("raw"), F.col("norm")) & (F.col("norm") != "")), "row"),
+        "last_words": edge_tokens(df, name_col, True), "first_words": edge_tokens(df, name_col, False),
+    }
+    if entity_col:
+        out |= {"alias_recall": alias_recall(df, entity_col, name_col), "apart": apart(df, entity_col, name_col)}
+    return out
+
+
 def evenly_spaced(df: DataFrame, order_col: str, k: int = 20) -> DataFrame:
     """Every n-th row in order, k of them: a sample for reading. Rows of the same order value come in any order."""
     n = tasks(df.sparkSession)
@@ -131,10 +179,10 @@ def evaluation_set(candidates: DataFrame, df: DataFrame, name_col: str, context_
 
 def alias_rows(entities: DataFrame) -> DataFrame:
     """(entity_id, entity_type, is_primary, alias_type, name) of registered entities: their legal name, and their trading
-    name where it differs."""
+    name where it differs. Entities without id or legal name have none."""
     row = lambda c, primary, kind: F.struct(
         F.col("uei").alias("entity_id"), F.lit("Entity").alias("entity_type"), F.lit(primary).alias("is_primary"), F.lit(kind).alias("alias_type"), F.col(c).alias("name")
     )
-    primary = entities.where(F.length("legal_name") > 0).select(row("legal_name", True, "PRIMARY").alias("r"))
-    dba = entities.where((F.length("dba_name") > 0) & (F.col("dba_name") != F.col("legal_name"))).select(row("dba_name", False, "DBA").alias("r"))
-    return primary.unionByName(dba).select("r.*")
+    dba = F.when((F.length("dba_name") > 0) & (F.col("dba_name") != F.col("legal_name")), row("dba_name", False, "DBA"))
+    both = F.array_compact(F.array(row("legal_name", True, "PRIMARY"), dba))
+    return entities.where("length(uei) > 0 and length(legal_name) > 0").select(F.explode(both).alias("r")).select("r.*")

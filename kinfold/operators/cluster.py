@@ -82,10 +82,11 @@ def candidates(
     df: DataFrame, name_col: str = "name", *, min_score: float = 0.0, seed: int = 0, ngram_size: int = 3, lsh_bands: int = 32, lsh_rows: int = 4,
     max_name_length: int = 256, aliases: dict[str, list[str]] | None = None, block_col: str | None = None, order_col: str | None = None,
 ) -> DataFrame:
-    """(name_a, name_b, normalized_a, normalized_b, score) of the candidate pairs of unique names; names are those of the
-    first row with the normalized name by order_col, a is the earlier one. Without order_col rows count in file order."""
+    """(name_a, name_b, normalized_a, normalized_b, score) of the candidate pairs of unique names, ordered by a and b; names
+    are those of the first row with the normalized name by order_col, a is the earlier one. Without order_col rows count in
+    file order."""
     rows = _prepared(df, name_col, order_col, block_col, max_name_length, aliases)
     uniques = _uniques(rows, name_col)
     pairs = scored_candidates(uniques, min_score, ngram_size, lsh_bands, lsh_rows, seed)
     side = lambda s: uniques.selectExpr(f"id as {s}", f"first_raw as name_{s}", f"norm as normalized_{s}")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("name_a", "name_b", "normalized_a", "normalized_b", "score")
+    return pairs.join(side("a"), "a").join(side("b"), "b").orderBy("a", "b").select("name_a", "name_b", "normalized_a", "normalized_b", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import comparison_form, normalize_name
@@ -28,15 +28,21 @@ def explain_edges(result: DataFrame, cluster_id: int, name_col: str = "name", ng
     return pairs.join(m.selectExpr("id as a", "raw as name_a"), "a").join(m.selectExpr("id as b", "raw as name_b"), "b").select("name_a", "name_b", "score")
 
 
+#: Unique names of a cluster that explain() brings to the driver with all their pairs, some 130,000; explain_edges has no bound.
+MOST_MEMBERS = 512
+
+
 def explain(result: DataFrame, cluster_id: int, name_col: str = "name", ngram_size: int = 3, order_col: str | None = None) -> dict:
-    """canonical, members, edges, hub_radius and size of one cluster, as a dict; ValueError if there is no such cluster
-    or column."""
+    """canonical, members, edges, hub_radius and size of one cluster, as a dict for reading; ValueError if there is no such
+    cluster or column, or it has more than MOST_MEMBERS unique names."""
     if name_col not in result.columns:
         raise ValueError(f"no column {name_col!r}; pass the one given to cluster()")
     head = result.where(F.col("cluster_id") == cluster_id).select("canonical_name").head()
     if head is None:
         raise ValueError(f"no rows with cluster_id={cluster_id}")
-    names = members(result, cluster_id, name_col, order_col).orderBy("id").collect()
+    names = members(result, cluster_id, name_col, order_col).orderBy("id").limit(MOST_MEMBERS + 1).collect()
+    if len(names) > MOST_MEMBERS:
+        raise ValueError(f"cluster {cluster_id} has more than {MOST_MEMBERS} unique names; read explain_edges() instead")
     norms = [r.norm for r in names]
     edges = explain_edges(result, cluster_id, name_col, ngram_size, order_col).collect() if len(names) > 1 else []
     return {
@@ -106,6 +112,14 @@ def score_clusters(df: DataFrame, predicted: str, true: str) -> DataFrame:
     )
 
 
+def score_labels(spark: SparkSession, predicted, true) -> dict:
+    """score_clusters of two sequences of labels in the same order, as a dict; ValueError if their lengths differ."""
+    p, t = ([None if x is None else str(x) for x in (s.to_pylist() if hasattr(s, "to_pylist") else s)] for s in (predicted, true))
+    if len(p) != len(t):
+        raise ValueError(f"{len(p)} predicted labels but {len(t)} true ones")
+    return score_clusters(spark.createDataFrame(list(zip(p, t)), "p string, t string"), "p", "t").head().asDict()
+
+
 def cluster_sizes(result: DataFrame, top: int | None = None) -> DataFrame:
     """(cluster_id, canonical_name, n), largest first; the top ones only if asked for."""
     out = result.where("cluster_id is not null").groupBy("cluster_id", "canonical_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions import grams, normalize
+from kinfold.functions import grams, normalize, translit
 from kinfold.functions.normalize import comparison_form, duckdb_normalize, normalize_name, truncate_bytes
 from kinfold.operators import audit, blocking, cluster, companions, features, generate, graph, scoring
 from kinfold.plans import jobs
@@ -81,6 +81,12 @@ def normalize_sql(spark, sf):
     return register_names(spark, sf).selectExpr("source", "key", "normalize_name(name) as norm")
 
 
+def transliterate_registers(spark, sf):
+    """The form of every register name as it is and in Latin letters."""
+    rows = register_names(spark, sf).withColumn("latin", translit.to_latin(spark, "name"))
+    return rows.select("source", "key", "latin", normalize_name("latin").alias("norm"))
+
+
 def comparison_forms(spark, sf):
     return names(spark, sf).select("row_id", comparison_form(normalize_name("name")).alias("form"))
 
@@ -118,8 +124,8 @@ def minhash_signature(spark, sf):
 
 
 def minhash_expression(spark, sf):
-    """The twin as a column expression, with fewer permutations."""
-    return uniques(spark, sf).select("id", F.posexplode(grams.minhash(grams.distinct_ngrams("form"), 8)).alias("i", "value"))
+    """The twin as a column expression, with the operator's number of permutations."""
+    return uniques(spark, sf).select("id", F.posexplode(grams.minhash(grams.distinct_ngrams("form"), BANDS * ROWS)).alias("i", "value"))
 
 
 def lsh_buckets(spark, sf):
@@ -191,8 +197,13 @@ def cluster_blocked(spark, sf):
     return cluster.cluster(names(spark, sf), threshold=0.95, order_col="row_id", block_col="block").select("row_id", "cluster_id", "canonical_name")
 
 
+def cluster_registers(spark, sf):
+    """The names of all five registers at the default settings."""
+    return cluster.cluster(register_names(spark, sf), "name").select("source", "key", "cluster_id", "canonical_name")
+
+
 def cluster_register(spark, sf):
-    """The largest register at the default settings."""
+    """The legal entities' register at the default settings."""
     g = read(spark, sf, "gleif").select("lei", "legal_name")
     return cluster.cluster(g, "legal_name").select("lei", "cluster_id", "canonical_name")
 
@@ -269,6 +280,14 @@ def audit_stats(spark, sf):
     return audit.stats(names(spark, sf), "name")
 
 
+def audit_describe(spark, sf):
+    return audit.describe(register_names(spark, sf), "name")
+
+
+def audit_apart(spark, sf):
+    return audit.apart(read(spark, sf, "party_aliases"), "entity_id", "name")
+
+
 def audit_collisions(spark, sf):
     return audit.collisions(names(spark, sf), "name")
 
@@ -446,7 +465,7 @@ SQL = {
     "gram_idf": f"{_BASE}{_GRAMS} SELECT gram, df, round(idf, 6) AS idf FROM idf",
     "tfidf_vectors": f"{_BASE}{_GRAMS} SELECT id, gram, round(w, 6) AS w FROM vec",
     "minhash_signature": f"{_BASE}{_GRAMS}{_signature(BANDS * ROWS)} SELECT id, i, value FROM sig",
-    "minhash_expression": f"{_BASE}{_GRAMS}{_signature(8)} SELECT id, i, value FROM sig",
+    "minhash_expression": f"{_BASE}{_GRAMS}{_signature(BANDS * ROWS)} SELECT id, i, value FROM sig",
     "lsh_buckets": f"{_FULL} SELECT id, band, bucket FROM buckets",
     "lsh_pairs": f"{_FULL} SELECT a, b FROM pairs",
     "candidates": f"{_FULL} SELECT x.first_raw AS name_a, y.first_raw AS name_b, x.norm AS normalized_a, y.norm AS normalized_b, score FROM scored JOIN u x ON x.id = a JOIN u y ON y.id = b WHERE score >= 0.5",
@@ -497,6 +516,13 @@ SQL = {
       count(*) FILTER (lower(trim(name)) <> norm) AS n_changed, round(avg(length(f)), 6) AS chars_mean, CAST(min(length(f)) AS INTEGER) AS chars_min, CAST(max(length(f)) AS INTEGER) AS chars_max, quantile_cont(length(f), 0.5) AS chars_median,
       round(stddev_samp(length(f)), 6) AS chars_std, round(avg(len(string_split(f, ' '))), 6) AS words_mean, CAST(min(len(string_split(f, ' '))) AS INTEGER) AS words_min, CAST(max(len(string_split(f, ' '))) AS INTEGER) AS words_max,
       quantile_cont(len(string_split(f, ' ')), 0.5) AS words_median FROM n""",
+    "audit_describe": f"""WITH f AS (SELECT nullif({_N('name')}, '') AS f FROM ({_REGISTERS}) t WHERE length(name) > 0),
+      m AS (SELECT 'chars' AS measure, length(f) AS x FROM f UNION ALL SELECT 'words', len(string_split(f, ' ')) FROM f)
+      SELECT measure, count(x) AS n, count(*) - count(x) AS n_null, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, CAST(min(x) AS INTEGER) AS "min",
+        quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, CAST(max(x) AS INTEGER) AS "max" FROM m GROUP BY measure""",
+    "audit_apart": f"""WITH c AS (SELECT entity_id, {_N('name')} AS norm, count(*) AS n FROM party_aliases GROUP BY 1, 2),
+      e AS (SELECT entity_id FROM c WHERE norm <> '' GROUP BY entity_id HAVING count(*) > 1 ORDER BY entity_id NULLS FIRST LIMIT 10)
+      SELECT entity_id, norm, n FROM c JOIN e USING (entity_id) WHERE norm <> ''""",
     "audit_collisions": _BASE + " SELECT norm, count(*) AS n FROM nn WHERE norm <> '' AND length(name) > 0 GROUP BY norm ORDER BY n DESC, norm LIMIT 100",
     "audit_alias_recall": f"""WITH f AS (SELECT entity_id, {_N('name')} AS norm FROM party_aliases), c AS (SELECT entity_id, norm, count(*) AS n FROM f WHERE norm <> '' GROUP BY 1, 2),
       e AS (SELECT entity_id, sum(n) AS k, sum(n * (n - 1) // 2) AS same, count(*) AS forms FROM c GROUP BY entity_id HAVING sum(n) >= 2)
@@ -555,6 +581,8 @@ SQL["cluster_vendors_by_country"] = _blocked(
 )
 _R = _BASE.replace(_NAMES.format(part="part").replace("STRING", "VARCHAR"), "SELECT row_number() OVER (ORDER BY lei, legal_name) AS row_id, lei, legal_name AS name, '' AS true_entity FROM gleif")
 SQL["cluster_register"] = SQL["cluster_default"].replace(_BASE, _R).replace("SELECT nn.row_id, nn.name", "SELECT nn.lei, nn.row_id, nn.name").replace(_CLUSTER, "SELECT lei, cluster_id, canonical_name FROM result")
+_A = _BASE.replace(_NAMES.format(part="part").replace("STRING", "VARCHAR"), f"SELECT row_number() OVER (ORDER BY source, key, name) AS row_id, source, key, name, '' AS true_entity FROM ({_REGISTERS}) t")
+SQL["cluster_registers"] = SQL["cluster_default"].replace(_BASE, _A).replace("SELECT nn.row_id, nn.name", "SELECT nn.source, nn.key, nn.row_id, nn.name").replace(_CLUSTER, "SELECT source, key, cluster_id, canonical_name FROM result")
 SQL["seeded_sample"] = _BASE + " SELECT row_id, name FROM names WHERE name IS NOT NULL ORDER BY md5('0' || chr(31) || row_id), row_id LIMIT 200"
 SQL["partition_values"] = "SELECT DISTINCT country_of_origin FROM vendor_shipments WHERE country_of_origin IS NOT NULL"
 SQL["stream_assign"] = SQL["cluster_register"].replace(
@@ -563,14 +591,14 @@ SQL["stream_assign"] = SQL["cluster_register"].replace(
 )
 
 QUERIES = {
-    "normalize_names": normalize_names, "normalize_registers": normalize_registers, "normalize_sql": normalize_sql, "normalize_truncated": normalize_truncated, "comparison_forms": comparison_forms,
+    "normalize_names": normalize_names, "normalize_registers": normalize_registers, "normalize_sql": normalize_sql, "transliterate_registers": transliterate_registers, "normalize_truncated": normalize_truncated, "comparison_forms": comparison_forms,
     "ngram_bag": ngram_bag, "ngram_set": ngram_set, "alias_rewrite": alias_rewrite, "unique_names": unique_names, "gram_idf": gram_idf, "tfidf_vectors": tfidf_vectors,
     "minhash_signature": minhash_signature, "minhash_expression": minhash_expression, "lsh_buckets": lsh_buckets, "lsh_pairs": lsh_pairs, "candidates": candidates,
     "pair_scores_exact": pair_scores_exact, "threshold_edges": threshold_edges, "degrees": degrees, "connected_components": connected_components, "hub_pick": hub_pick,
     "bfs_from_hub": bfs_from_hub, "diameter_split": diameter_split, "cluster": _cluster(0.95), "cluster_default": _cluster(0.85), "cluster_alias": _cluster(0.95, aliases=_aliases()),
-    "cluster_exact": _cluster(0.95, blocking="exact"), "cluster_blocked": cluster_blocked, "cluster_register": cluster_register, "cluster_vendors_by_country": cluster_vendors_by_country,
+    "cluster_exact": _cluster(0.95, blocking="exact"), "cluster_blocked": cluster_blocked, "cluster_register": cluster_register, "cluster_registers": cluster_registers, "cluster_vendors_by_country": cluster_vendors_by_country,
     "cluster_threshold_sweep": cluster_threshold_sweep, "cluster_sizes_top": cluster_sizes_top, "explain_edges": explain_edges, "acronym_map": acronym_map, "score_clusters": score_clusters,
     "lsh_calibrate_grid": lsh_calibrate_grid, "score_buckets": score_buckets, "bucket_distribution": bucket_distribution, "bucket_sample": bucket_sample, "context_join": context_join,
-    "evaluation_set": evaluation_set, "audit_stats": audit_stats, "audit_collisions": audit_collisions, "audit_alias_recall": audit_alias_recall, "audit_tail_tokens": audit_tail_tokens,
+    "evaluation_set": evaluation_set, "audit_stats": audit_stats, "audit_describe": audit_describe, "audit_apart": audit_apart, "audit_collisions": audit_collisions, "audit_alias_recall": audit_alias_recall, "audit_tail_tokens": audit_tail_tokens,
     "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "sample_evenly": sample_evenly, "seeded_sample": seeded_sample, "partition_values": partition_values, "stream_assign": stream_assign, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import warnings
 import zipfile
 from pathlib import Path
 
@@ -29,9 +30,14 @@ def has_column(spark: SparkSession, path: str, column: str) -> bool:
     return column in spark.read.parquet(path).columns
 
 
-def latest(pattern: str) -> str | None:
-    """The last path of a glob in order of names, None if there is none."""
-    paths = sorted(glob.glob(pattern))
+def latest(pattern: str, spark: SparkSession | None = None) -> str | None:
+    """The last path of a glob in order of names, None if there is none. With a session the pattern is one of any file
+    system that Spark reads, else of this machine's."""
+    if spark is None:
+        paths = sorted(glob.glob(pattern))
+    else:
+        p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        paths = sorted(s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
     return paths[-1] if paths else None
 
 
@@ -45,9 +51,11 @@ def unzipped(path: str, folder: str) -> str:
 
 def csv_selected(spark: SparkSession, path: str, columns: dict[str, str], folder: str | None = None) -> DataFrame:
     """A CSV (or zipped CSV) with header, all strings: columns maps output names to headers, which match after trimming.
-    A missing header gives nulls."""
+    A missing header gives nulls and a warning."""
     df = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(unzipped(path, folder) if folder else path)
     df = df.toDF(*[c.strip() for c in df.columns])
+    if missing := [h for h in columns.values() if h not in df.columns]:
+        warnings.warn(f"{path} has no column {', '.join(missing)}", stacklevel=2)
     return df.select(*[(F.col(f"`{h}`") if h in df.columns else F.lit(None).cast("string")).alias(n) for n, h in columns.items()])
 
 

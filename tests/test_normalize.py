@@ -64,3 +64,12 @@ def test_every_form_leaves_a_word(spark):
 def test_marks_outside_letters(spark):
     got = spark.createDataFrame([("a҈b é",)], "name string").select(N.normalize_name("name").alias("n")).head().n
     assert got == "ab e"
+
+
+def test_transliteration(spark):
+    from kinfold.functions.translit import to_latin
+
+    names = {"Газпром Компания": "Gazprom Kompania", "Ελλάδα": "Ellada", "Müller ß Ø": "Muller ss O", "plain / ASCII": "plain / ASCII", "": "", "ＡＢ⁠Ｃ\xa0d": "ABC d", "é": "e", None: None}
+    rows = spark.createDataFrame([(k,) for k in names], "name string")
+    assert {r.name: r.t for r in rows.select("name", to_latin(spark, "name").alias("t")).collect()} == names
+    assert rows.limit(0).select(to_latin(spark, "name")).collect() == []

@@ -102,3 +102,48 @@ def test_evenly_spaced_rows_of_wide_tables(spark):
     assert got == list(range(0, 60_000, 3000))
     assert audit.evenly_spaced(rows.limit(0), "n").collect() == []
     assert len(audit.evenly_spaced(rows.where("n < 7"), "n").collect()) == 7
+
+
+def test_audit_reports(spark, tmp_path):
+    import json
+
+    from kinfold.operators import audit
+    from kinfold.sources import sinks
+
+    rows = [(1, "e1", "Vessel", "Acme Inc"), (2, "e1", "Vessel", "Acme LLC"), (3, "e2", "Entity", "?!"), (4, "e2", "Entity", "Big Steel Co"), (5, "e2", "Entity", "Steel Big"), (6, None, "Entity", None), (7, "e3", "Entity", "A")]
+    df = spark.createDataFrame(rows, "row long, entity_id string, entity_type string, name string")
+    sinks.report(audit.audit(df, "name", "row", "entity_id", "Entity"), str(tmp_path / "a.json"), str(tmp_path / "a.md"))
+    got = json.loads((tmp_path / "a.json").read_text())
+    assert got["counts"][0]["n_input"] == 4 and [x["raw"] for x in got["empty"]] == ["?!"] and [x["raw"] for x in got["one_character"]] == ["A"]
+    assert got["alias_recall"][0]["total_pairs"] == 1 and {x["norm"] for x in got["apart"]} == {"big steel", "steel big"}
+    assert {x["measure"]: (x["n"], x["n_null"], x["p50"]) for x in got["lengths"]} == {"chars": (3, 1, 9.0), "words": (3, 1, 2.0)}
+    assert audit.alias_recall(df, "entity_id", "name").head().matching_pairs == 1
+    empty = audit.audit(df.limit(0), "name", "row", "entity_id")
+    assert empty["counts"].head().n_input == 0 and empty["changed"].collect() == []
+
+
+def test_alias_rows_need_an_id_and_a_legal_name(spark):
+    from kinfold.operators import audit
+
+    rows = [("u", "A", "B"), ("u", "A", "A"), (None, "A", "B"), ("", "A", "B"), ("u", "", "B"), ("u", None, "B"), ("u", "A", None)]
+    got = audit.alias_rows(spark.createDataFrame(rows, "uei string, legal_name string, dba_name string")).collect()
+    assert sorted((r.entity_id, r.alias_type, r.name) for r in got) == [("u", "DBA", "B"), *[("u", "PRIMARY", "A")] * 3]
+
+
+def test_missing_header_and_latest_file(spark, tmp_path):
+    from kinfold.sources import readers
+
+    for n in ("a-1.csv", "a-2.csv"):
+        (tmp_path / n).write_text(" x ,y\n1,2\n")
+    with pytest.warns(UserWarning, match="no column z"):
+        assert readers.csv_selected(spark, readers.latest(f"file://{tmp_path}/a-*.csv", spark), {"x": "x", "z": "z"}).collect() == [("1", None)]
+    assert readers.latest(f"file://{tmp_path}/b-*", spark) is None and readers.latest(f"{tmp_path}/a-*.csv").endswith("a-2.csv")
+
+
+def test_scores_of_two_sequences(spark):
+    from kinfold.operators import companions
+
+    assert companions.score_labels(spark, [1, 1, None], ["a", "a", "b"])["adjusted_rand"] == 1
+    assert companions.score_labels(spark, [], [])["n_items"] == 0
+    with pytest.raises(ValueError):
+        companions.score_labels(spark, [1], [1, 2])
