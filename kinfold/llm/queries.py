@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import chunking, components, leakage, lookalike, mixing, spelling
+from kinfold.session import cut
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -51,11 +52,34 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf), read(spark, sf, "mix_targets"))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """(plan, source, share_met, repeats_kept) of each target: is the source's share off by two of the mix's largest records at
+    most, and is no record used more often than allowed?"""
+    targets, m = read(spark, sf, "mix_targets"), cut(p8_mix(spark, sf))
+    got = mixing.shares(m, targets).join(targets.select("plan", "source", "max_repeats"), ["plan", "source"])
+    most = m.groupBy("plan").agg(F.max("n_tokens").alias("largest"))
+    whole = "sum(tokens) over (partition by plan) * target_share / nullif(sum(if(tokens > 0, target_share, 0D)) over (partition by plan), 0)"
+    out = got.join(most, "plan", "left").selectExpr("plan", "source", f"coalesce(abs(tokens - {whole}) <= 2 * largest, true) as share_met", "max_uses <= max_repeats as repeats_kept")
+    return out.distinct()
+
+
 def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_documents(read(spark, sf, "documents"), read(spark, sf, "chunk_profiles"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+def p9_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """(profile, doc_id, n_chars, digest, kept): the text that a document's pieces give without what they share, and whether
+    every piece keeps its limit, the pieces' order and the overlap."""
+    profiles = read(spark, sf, "chunk_profiles")
+    before = "lag(end_char) over (partition by profile, doc_id order by piece_no)"
+    p = p9_pieces(spark, sf).selectExpr("*", f"coalesce({before}, 0) as upto").join(profiles.selectExpr("profile", "max_tokens", "overlap_tokens as wanted"), "profile")
+    kept = F.expr("n_tokens <= max_tokens and start_char <= upto and end_char > upto and char_length(piece_text) = end_char - start_char and (piece_no = 1 or overlap_tokens >= wanted or overlap_tokens = 0)")
+    fresh = F.struct("piece_no", F.expr("substring(piece_text, upto - start_char + 1)").alias("t"))  # the pieces of one document
+    got = p.groupBy("profile", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(fresh)), lambda x: x["t"]), "").alias("text"), F.min(kept).alias("kept"))
+    return got.select("profile", "doc_id", F.char_length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "kept")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks, "p9_pieces": p9_pieces, "p9_roundtrip": p9_roundtrip}
 
 
 def _text(s: str) -> str:
@@ -106,6 +130,8 @@ r AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc
 SELECT DISTINCT doc_id, item_id FROM r JOIN p USING (run)
 """
 SQL: dict[str, str] = {
+    "p8_checks": "SELECT DISTINCT plan, source, true AS share_met, true AS repeats_kept FROM mix_targets",
+    "p9_roundtrip": "SELECT profile, doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest, true AS kept FROM documents CROSS JOIN chunk_profiles WHERE text <> ''",
     "p7_found": _P7,
     "p4_found": _P4_VALUES
     + """SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM l a JOIN l b
