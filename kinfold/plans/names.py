@@ -178,6 +178,21 @@ def diameter_split(spark, sf):
     return pieces.join(hubs, "piece").select("id", "hub", "flagged")
 
 
+def diameter_split_deep(spark, sf):
+    """Chains of one to twelve nodes, planted on the customers: long ones fall apart in several levels."""
+    c = read(spark, sf, "customer").where("c_custkey % 12 <= (c_custkey div 12) % 12").selectExpr("c_custkey as id", "lpad(c_custkey, 12, '0') as norm")
+    e = cut(c.selectExpr("id as a", "id + 1 as b").join(c.selectExpr("id as b"), "b").where("a div 12 = b div 12").select("a", "b"))
+    nodes = cut(graph.connected_components(e).join(graph.degrees(e), "id").join(c, "id"))
+    pieces = graph.split_wide(nodes, e)
+    return pieces.join(pieces.groupBy("piece").agg(F.min("id").alias("first")), "piece").select("id", "first", "flagged")
+
+
+def lsh_band_sizes(spark, sf):
+    """Buckets of the keys that clustering uses, by band: how many, and how many pairs they hold."""
+    each = blocking.lsh_buckets(uniques(spark, sf)).groupBy("band", "bucket").agg(F.count("*").alias("k"))
+    return each.groupBy("band").agg(F.count("*").alias("n_buckets"), F.sum("k").alias("n_names"), F.sum(F.expr("k * (k - 1) div 2")).alias("n_pairs"))
+
+
 def _cluster(threshold: float, **options):
     def query(spark, sf):
         return cluster.cluster(names(spark, sf), threshold=threshold, order_col="row_id", **options).select("row_id", "cluster_id", "canonical_name")
@@ -477,6 +492,12 @@ SQL = {
     "bfs_from_hub": _FULL + _graph(0.85) + """, steps AS (SELECT component, hub_id AS id, 0 AS d FROM hubs UNION SELECT component, dst, d + 1 FROM steps JOIN ways ON src = id WHERE d < 20)
       SELECT component, id, min(d) AS distance FROM steps GROUP BY component, id""",
     "diameter_split": f"{_FULL}{_graph(0.85)}{_SPLIT} SELECT id, hub, flagged FROM pieces JOIN phubs USING (piece)",
+    # of a chain the first piece is four nodes, the next ones three, until four or fewer are left
+    "diameter_split_deep": """WITH c AS (SELECT c_custkey AS id, c_custkey % 12 AS j, (c_custkey // 12) % 12 + 1 AS n FROM customer WHERE c_custkey % 12 <= (c_custkey // 12) % 12),
+      p AS (SELECT *, CASE WHEN j < 4 THEN 0 ELSE 1 + least((j - 4) // 3, greatest(0, (n - 8 + 2) // 3)) END AS k FROM c WHERE n > 1)
+      SELECT id, id - j + CASE WHEN n < 5 OR k = 0 THEN 0 ELSE 1 + 3 * k END AS first, n >= 5 AS flagged FROM p""",
+    "lsh_band_sizes": f"""{_FULL} SELECT band, count(*) AS n_buckets, CAST(sum(k) AS BIGINT) AS n_names, CAST(sum(k * (k - 1) // 2) AS BIGINT) AS n_pairs
+      FROM (SELECT band, bucket, count(*) AS k FROM buckets WHERE id IN (SELECT id FROM gset) GROUP BY band, bucket) x GROUP BY band""",
     "cluster": f"{_clustered(0.95)} {_CLUSTER}",
     "cluster_default": f"{_clustered(0.85)} {_CLUSTER}",
     "cluster_sizes_top": f"{_clustered(0.95)} SELECT cluster_id, canonical_name, count(*) AS n FROM result WHERE cluster_id IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, cluster_id LIMIT 20",
@@ -595,7 +616,7 @@ QUERIES = {
     "ngram_bag": ngram_bag, "ngram_set": ngram_set, "alias_rewrite": alias_rewrite, "unique_names": unique_names, "gram_idf": gram_idf, "tfidf_vectors": tfidf_vectors,
     "minhash_signature": minhash_signature, "minhash_expression": minhash_expression, "lsh_buckets": lsh_buckets, "lsh_pairs": lsh_pairs, "candidates": candidates,
     "pair_scores_exact": pair_scores_exact, "threshold_edges": threshold_edges, "degrees": degrees, "connected_components": connected_components, "hub_pick": hub_pick,
-    "bfs_from_hub": bfs_from_hub, "diameter_split": diameter_split, "cluster": _cluster(0.95), "cluster_default": _cluster(0.85), "cluster_alias": _cluster(0.95, aliases=_aliases()),
+    "bfs_from_hub": bfs_from_hub, "diameter_split": diameter_split, "diameter_split_deep": diameter_split_deep, "lsh_band_sizes": lsh_band_sizes, "cluster": _cluster(0.95), "cluster_default": _cluster(0.85), "cluster_alias": _cluster(0.95, aliases=_aliases()),
     "cluster_exact": _cluster(0.95, blocking="exact"), "cluster_blocked": cluster_blocked, "cluster_register": cluster_register, "cluster_registers": cluster_registers, "cluster_vendors_by_country": cluster_vendors_by_country,
     "cluster_threshold_sweep": cluster_threshold_sweep, "cluster_sizes_top": cluster_sizes_top, "explain_edges": explain_edges, "acronym_map": acronym_map, "score_clusters": score_clusters,
     "lsh_calibrate_grid": lsh_calibrate_grid, "score_buckets": score_buckets, "bucket_distribution": bucket_distribution, "bucket_sample": bucket_sample, "context_join": context_join,
