@@ -4,10 +4,13 @@
    and nicknames come from word lists, typing errors in them are bridged by edit distance.
 2. A symmetric-delete index on the words of cores finds neighbours: a core gives one key for each pair of its two parts
    with at most one character deleted from each; parts are its words, or runs of words written apart, or what a word
-   written together splits into. Three and more words also give keys without order, for errors in two of them. Each key's heaviest core is the candidate for all others; cores left without a neighbour
-   are then tried with the key's next ones, in steps that double, until none is left untried.
-3. Candidates are verified by the optimal assignment of words under the Damerau-Levenshtein distance, also over words
-   written apart or together; a core follows its nearest heavier neighbour of a step up to a root. Cores of a trusted register stay.
+   written together splits into. Three and more words also give keys without order, for errors in two of them, and all
+   words but one give keys with the beginning of that one, for abbreviations and nicknames that no list has. Each key's
+   heaviest core is the candidate for all others; cores left without a neighbour are then tried with the key's next ones,
+   in steps that double, until none is left untried.
+3. Candidates are verified by the optimal assignment of words, whose costs are Damerau-Levenshtein edits and, dearer,
+   initials and abbreviations; words written apart or together are compared as one. A core follows its nearest heavier
+   neighbour of a step up to a root. Cores of a trusted register stay.
 4. Within a root, names are one entity if number and trade (companies) or given name (persons) agree. A name without trade
    or with an initial only joins if that leaves one choice, else it stays alone.
 
@@ -28,6 +31,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,6 +170,15 @@ class Lexicon:
         return self.exact[best[1]] if best else None
 
 
+def half(word: str, trade: str) -> str:
+    """Which word of a trade of two words a folded word stands for: '0', '1', or '' for both or where that can't be told."""
+    a, b = map(fold, trade.split())
+    if len(word) > len(a) + 2:  # written together
+        return ""
+    n = 2 if a[0] == b[0] else 1
+    return {(True, False): "0", (False, True): "1"}.get((word[:n] == a[:n], word[:n] == b[:n]), "")
+
+
 def deletes(word: str) -> set[str]:
     """The word and all forms with one character less; of short and of very long words the word alone."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if MIN_PART < len(word) <= LONGEST_WORD else {word}
@@ -200,7 +213,8 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
     t = t.replace("m/s", " ").replace("c/o", " ").replace("'", "")
     t = _DOTTED.sub(_undot, t)
     trade_of, given_of = lexica()
-    words, numbers, trades, given, initials, legal = [], [], set(), [], [], False
+    words, numbers, given, initials, legal = [], [], [], [], False
+    trades: dict[str, set[str]] = {}  # with the halves of it that were read
     pieces: list[tuple[int, str]] = []  # letters and small words, with their place: initials and links, or words written apart
     found = _WORD.findall(t)
     for i, raw in enumerate(found):
@@ -220,7 +234,7 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
         elif w in FOLDED_VOID:
             continue
         elif trade := trade_of.find(w):
-            trades.add(trade)
+            trades.setdefault(trade, set()).add(half(w, trade) if " " in trade else "")
         else:
             words.append(w)
     if (trades or legal or numbers) and words:
@@ -229,7 +243,7 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
         initials = []
     for w in words[:]:  # more words than a name has beside its trade: one of them may be the trade
         if len(words) > 2 and len(w) > 3 and (trade := trade_of.find(w, True)) and (not trades or trade in trades):
-            trades.add(trade)
+            trades.setdefault(trade, set()).add(half(w, trade) if " " in trade else "")
             words.remove(w)
     if not trades and not legal:
         rest = []
@@ -244,7 +258,8 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
         words, given = given, []
     if not words:
         return None
-    return " ".join(words), " ".join(sorted(numbers)), "|".join(sorted(trades)), " ".join(sorted(set(given))), "".join(sorted(set(initials))), legal
+    said = [t if "" in h or len(h) > 1 else f"{t}/{min(h)}" for t, h in trades.items()]
+    return " ".join(words), " ".join(sorted(numbers)), "|".join(sorted(said)), " ".join(sorted(set(given))), "".join(sorted(set(initials))), legal
 
 
 def parts(core: list[str]) -> Iterator[tuple[str, ...]]:
@@ -262,16 +277,29 @@ def parts(core: list[str]) -> Iterator[tuple[str, ...]]:
 
 
 def unordered(core: list[str], h) -> list[np.ndarray]:
-    """Hashes of three or more words in any order, two of them with errors: each with at most a character deleted, or both
-    left out where many words remain."""
-    n, one = len(core), h(core)
+    """Hashes of three or more words in any order: two of them with at most a character deleted from each and the first
+    letters of the others, which may be abbreviated; or both left out where many words remain."""
+    n = len(core)
     if n >= MANY_WORDS:
+        one = h(core)
         rest = one.sum() - one
         if n <= MOST_WORDS:
             rest = np.subtract.outer(rest, one)[np.triu_indices(n, 1)]
         return [(rest + np.uint64(n)) * np.uint64(7)]
-    changes = [h(deletes(w)) - x for w, x in zip(core, one)]
-    return [(one.sum() + np.add.outer(a, b).ravel()) * np.uint64(5) for a, b in combinations(changes, 2)]
+    letters = h([f"<{w[0]}" for w in core])
+    changes = [h(deletes(w)) - x for w, x in zip(core, letters)]
+    return [(letters.sum() + np.add.outer(a, b).ravel()) * np.uint64(5) for a, b in combinations(changes, 2)]
+
+
+def shortened(core: list[str], h) -> np.ndarray:
+    """Hashes for abbreviations: all words but one, with the other one's first three letters or its first and last; of three
+    and more words also with its first letter, for initials."""
+    one = h(core)
+    looks = [[f"<{w[:3]}", f"<{w[0]}>{w[-1]}", *([f"<{w[0]}<"] if len(core) > 2 else [])] for w in core]
+    sound = [any(len(x) >= ANCHOR for x in core[:i] + core[i + 1 :]) for i in range(len(core))]
+    looks = [look if ok else [] for look, ok in zip(looks, sound)]
+    rest = np.repeat((one.sum() - one) * np.uint64(11), list(map(len, looks)))
+    return rest + h([x for look in looks for x in look])
 
 
 def keys(core: list[str]) -> np.ndarray:
@@ -285,6 +313,8 @@ def keys(core: list[str]) -> np.ndarray:
         out.append(a * np.uint64(3) if len(p) == 1 else np.add.outer(a, h(deletes(p[1]))).ravel())
     if len(core) > 2:
         out += unordered(core, h)
+    if 1 < len(core) <= MOST_WORDS:
+        out.append(shortened(core, h))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -313,34 +343,54 @@ def cheapest(costs: list[list[int]]) -> int:
     return -v[0]
 
 
+def abbreviates(short: str, long: str) -> bool:
+    """Initials, beginnings of three letters or more, and letters of the word in order from its first: four or more, or
+    consonants only."""
+    if len(short) > len(long) - 2 or short[0] != long[0]:
+        return False
+    if len(short) == 1 or len(short) >= 3 and long.startswith(short):
+        return True
+    rest = iter(long)
+    return (len(short) >= ANCHOR or len(short) == 3 and not set(short) & set("aeiou")) and all(c in rest for c in short)
+
+
+#: Letters of a word that an abbreviation beside it can lean on; what an abbreviation counts beside typing errors, and how
+#: an assignment keeps the two apart.
+ANCHOR, ABBREVIATION_EDITS, ABBREVIATION = 4, 2, 1000
+
+
+def word_cost(x: str, y: str) -> int | None:
+    """Typing errors between two words, or ABBREVIATION, None if they are different words."""
+    most = allowed(x, y)
+    d = distance(x, y, most)
+    if d <= most:
+        return d
+    return ABBREVIATION if abbreviates(*sorted((x, y), key=len)) else None
+
+
 def align(a: list[str], b: list[str]) -> int | None:
-    """Edits between two cores under the best assignment of words, None if they are too far apart."""
-    best = None
-    if len(a) == len(b) <= 5:
-        for p in permutations(b):
-            total = 0
-            for x, y in zip(a, p):
-                most = allowed(x, y)
-                d = distance(x, y, most)
-                if d > most:
-                    break
-                total += d
-            else:
-                best = total if best is None else min(best, total)
-    elif len(a) == len(b):
+    """Edits between two cores under the best assignment of words, None if they are too far apart. Typing errors, initials and
+    abbreviations are costs of the assignment; at most half of the words may be abbreviated, and one that isn't must have
+    four letters."""
+    if len(a) == len(b):
         if sorted(a) == sorted(b):
             return 0
-        far = 2 * len(a) + 1  # more than any assignment within what is allowed
-        total = cheapest([[d if (d := distance(x, y, most := allowed(x, y))) <= most else far for y in b] for x in a])
-        best = total if total < far else None
-    elif sum(map(len, a)) > 2 * LONGEST_WORD:
+        far = ABBREVIATION * (len(a) + 1)  # more than any assignment within what is allowed
+        costs = [[far if (c := word_cost(x, y)) is None else c for y in b] for x in a]
+        if any(min(row) >= far for row in costs):
+            return None
+        total = min(sum(row[j] for row, j in zip(costs, p)) for p in permutations(range(len(b)))) if len(a) <= 3 else cheapest(costs)
+        short, edits = divmod(total, ABBREVIATION)
+        if total >= far or short and (2 * short > len(a) or not any(len(x) >= ANCHOR and min(row) < ABBREVIATION for x, row in zip(a, costs))):
+            return None
+        return edits + ABBREVIATION_EDITS * short
+    if sum(map(len, a)) > 2 * LONGEST_WORD:
         return 0 if "".join(a) == "".join(b) else None
-    else:  # words written apart or together
-        x = "".join(a)
-        for p in permutations(b) if len(b) <= 4 else [b]:
-            d = distance(x, "".join(p), 2)
-            if d <= 2 and min(len(x), sum(map(len, b))) >= 7:
-                best = d if best is None else min(best, d)
+    best, x = None, "".join(a)  # words written apart or together
+    for p in permutations(b) if len(b) <= 4 else [b]:
+        d = distance(x, "".join(p), 2)
+        if d <= 2 and min(len(x), sum(map(len, b))) >= 7:
+            best = d if best is None else min(best, d)
     return best
 
 
@@ -348,31 +398,41 @@ def neighbours(cores: DataFrame) -> DataFrame:
     """(core, center) from cores (core, weight, trusted): a heavier neighbour of each core that has one, the nearest of
     those tried in the same step."""
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"core": b["core"], "weight": b["weight"], "trusted": b["trusted"], "ks": [keys(c.split(" ")) for c in b["core"]]})
+            ks = [keys(c.split(" ")) for c in b.column(1).to_pylist()]
+            at = np.cumsum([0, *map(len, ks)])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(ks) if ks else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["n", "ks"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             d = [align(x.split(" "), y.split(" ")) for x, y in zip(b["core"], b["center"])]
-            b["edits"] = pd.array(d, dtype="Int32")
-            yield b[b["edits"].notna()]
-
-    # a core becomes about a hundred keys: spread the small table first, over a fixed number of tasks
-    spread = cores.repartition(tasks(cores.sparkSession), "core")
-    indexed = spread.mapInPandas(index, "core string, weight long, trusted boolean, ks array<long>").select("core", "weight", "trusted", F.explode("ks").alias("k"))
-    w = "over (partition by k order by trusted desc, weight desc, core desc)"
-    ranked = cut(indexed.selectExpr("*", f"row_number() {w} as r", f"lead(core) {w} as after").where("r > 1 or after is not null").drop("after"))
-    left, found, start = ranked.where("r > 1 and not trusted").select("core", "k", "r"), None, 1
+            yield pd.DataFrame({"core": b["core"], "center": b["center"], "c": b["c"], "edits": pd.array(d, dtype="Int32")}).dropna()
+
+    spark = cores.sparkSession
+    # numbered from the heaviest core of the trusted ones down: the index holds numbers only
+    down = [F.desc("trusted"), F.desc("weight"), F.desc("core")]
+    numbered = cut(cores.repartitionByRange(tasks(spark), *down).sortWithinPartitions(*down).select(F.monotonically_increasing_id().alias("n"), "core", "trusted"))
+    # a core becomes about a hundred keys: the small table is spread first, over a fixed number of tasks
+    spread = numbered.select("n", "core").repartition(tasks(spark), "n")
+    indexed = spread.mapInArrow(index, "n long, ks array<long>").select("n", F.explode("ks").alias("k"))
+    w = "over (partition by k order by n)"
+    ranked = cut(indexed.selectExpr("*", f"row_number() {w} as r", f"lead(n) {w} as after").where("r > 1 or after is not null").drop("after"))
+    left = ranked.where("r > 1").join(numbered.where("not trusted").select("n"), "n", "left_semi")
+    found, start, name = None, 1, numbered.select("n", "core")
     while True:
-        centers = ranked.where(f"r between {start} and {2 * start - 1}").selectExpr("k", "core as center", "weight", "trusted", "r as rank")
-        pairs = left.join(centers, "k").where("rank < r").select("core", "center", "weight", "trusted").distinct()
-        checked = pairs.mapInPandas(verify, "core string, center string, weight long, trusted boolean, edits int")
-        link = cut(checked.groupBy("core").agg(F.min_by("center", F.struct("edits", F.expr("not trusted"), F.expr("-weight"), "center")).alias("center")))
+        centers = ranked.where(f"r between {start} and {2 * start - 1}").selectExpr("k", "n as c")
+        pairs = left.join(centers, "k").where("c < n").select("n", "c").distinct()
+        spelled = pairs.join(name, "n").join(name.selectExpr("n as c", "core as center"), "c").select("core", "center", "c")
+        checked = spelled.mapInPandas(verify, "core string, center string, c long, edits int")
+        link = cut(checked.groupBy("core").agg(F.min_by("center", F.struct("edits", "c")).alias("center")))
         found, start = link if found is None else found.unionByName(link), 2 * start
-        old, left = left, cut(left.where(f"r > {start}").join(link, "core", "left_anti"))
+        old, left = left, cut(left.where(f"r > {start}").join(link.join(name, "core").select("n"), "n", "left_anti"))
         release(old)
         if left.isEmpty():
+            release(ranked)
+            release(left)
             return found
 
 
@@ -405,7 +465,10 @@ def entities(names: DataFrame) -> DataFrame:
     says = rooted.groupBy("root", "number").agg(
         F.collect_set(F.expr("nullif(trade, '')")).alias("trades"), F.collect_set(F.expr("nullif(given, '')")).alias("givens"), F.max("legal").alias("company")
     )
-    known = rooted.join(says, ["root", "number"])
+    # half of a trade stands for all of it where its root says all of it somewhere
+    whole = lambda t, trades: F.when(t.endswith("/0") | t.endswith("/1"), F.when(F.array_contains(trades, F.substring(t, F.lit(1), F.length(t) - 2)), F.substring(t, F.lit(1), F.length(t) - 2))).otherwise(t)
+    known = rooted.join(says, ["root", "number"]).withColumn("trade", F.coalesce(whole(F.col("trade"), F.col("trades")), "trade"))
+    known = known.withColumn("trades", F.array_distinct(F.transform("trades", lambda t: F.coalesce(whole(t, F.col("trades")), t))))
     by_initial = F.filter("givens", lambda g: F.contains(F.col("initials"), F.left(g, F.lit(1))))
     one = lambda a: F.when(F.size(a) == 1, a[0])
     entity = (

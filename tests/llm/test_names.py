@@ -148,3 +148,41 @@ def test_chains_of_any_length_are_followed_to_their_root(spark, monkeypatch):
     monkeypatch.setattr(spelling, "neighbours", lambda cores: cores.where("n > 0").selectExpr("core", "cast(n - 1 as string) as center"))
     got = spelling.roots(spark.range(5000).selectExpr("cast(id as string) as core", "id as n"))
     assert got.count() == 5000 and [r.root for r in got.select("root").distinct().collect()] == ["0"]
+
+
+def test_abbreviations_and_nicknames_off_the_lists(spark):
+    a = spelling.align
+    assert a(["fred", "olsen"], ["olsen", "frederik"]) == 2 and a(["kontoso", "labs"], ["kontoso", "laboratories"]) == 2
+    assert a(["fabrikam", "aero"], ["aerospake", "fabrikam"]) == 2 and a(["j", "smith", "vidgets"], ["smith", "john", "vidgets"]) == 2
+    assert a(["brdg", "kontoso"], ["kontoso", "bridge"]) == 2 and a(["kontoso", "mfk"], ["kontoso", "manufaktur"]) == 2
+    assert a(["mirgon", "fel"], ["feldan", "mir"]) is None and a(["al", "bo"], ["alan", "bo"]) is None and a(["kontoso", "lab"], ["kontoso", "bal"]) is None
+    groups = [["Fred Olsen", "Frederick Olsen", "OLSEN, FREDERICK"], ["Contoso Labs", "Contoso Laboratories Inc"], ["Fabrikam Aero", "Aerospace Fabrikam"]]
+    groups += [["International Business Machines Corp", "Intl. Business Machines"], ["Business Machines Trading Corp"], ["Kelsot Mardin Paper Mills", "Kelsot Mardin Ppr", "Kelsot Mardin Mls Inc"]]
+    rows = [(f"k{i}.{j}", n, False) for i, g in enumerate(groups) for j, n in enumerate(g)]
+    got = {(r.key_a, r.key_b) for r in spelling.same_entity(spark.createDataFrame(rows, "key string, name string, trusted boolean")).collect()}
+    assert got == {p for i, g in enumerate(groups) for p in combinations([f"k{i}.{j}" for j in range(len(g))], 2)}
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_recall_of_the_candidates(lists, monkeypatch):
+    """Of all pairs that the assignment accepts, most share a key, with the word lists and without them."""
+    if not lists:
+        monkeypatch.setattr(spelling, "_LEXICA", [spelling.Lexicon({}), spelling.Lexicon({})])
+    import os
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    names = {n for t, c in (("name_records", "name"), ("gleif", "legal_name")) for n in pq.read_table(f"{sf}/{t}.parquet", columns=[c]).column(c).to_pylist()}
+    cores = sorted({r[0] for n in names if (r := spelling.read_name(n))})
+    found = lost = 0
+    index = [set(spelling.keys(c.split(" ")).tolist()) for c in cores]
+    for i in range(0, len(cores), 50):
+        for j in range(len(cores)):
+            if i != j and spelling.align(cores[i].split(" "), cores[j].split(" ")) is not None:
+                shared = bool(index[i] & index[j])
+                found, lost = found + shared, lost + (not shared)
+    assert found >= 0.9 * (found + lost) and found > 5
+    print("candidates", lists, found, lost)
