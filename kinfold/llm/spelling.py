@@ -196,6 +196,13 @@ def lexica() -> list[Lexicon]:
 FOLDED_LEGAL = {fold(w) for w in LEGAL}
 FOLDED_LONG = [fold(w) for w in LONG_LEGAL]
 FOLDED_VOID = {fold(w) for w in VOID}
+#: A single error leaves the first or the last three letters of a long word as they are.
+LONG_HEADS, LONG_TAILS = {w[:3] for w in FOLDED_LONG}, {w[-3:] for w in FOLDED_LONG}
+
+
+def is_legal(w: str) -> bool:
+    """A legal form, or a long one with an error."""
+    return w in FOLDED_LEGAL or len(w) >= 6 and (w[:3] in LONG_HEADS or w[-3:] in LONG_TAILS) and any(distance(w, x, 1) <= 1 for x in FOLDED_LONG)
 
 
 def _undot(m: re.Match) -> str:
@@ -229,7 +236,7 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, bool] | None:
             pieces.append((len(words), w))
         elif raw in LINKS:
             pieces.append((len(words), w))
-        elif w in FOLDED_LEGAL or len(w) >= 6 and any(distance(w, x, 1) <= 1 for x in FOLDED_LONG):
+        elif is_legal(w):
             legal = True
         elif w in FOLDED_VOID:
             continue
