@@ -425,22 +425,24 @@ def neighbours(cores: DataFrame) -> DataFrame:
     spread = numbered.select("n", "core").repartition(tasks(spark), "n")
     indexed = spread.mapInArrow(index, "n long, ks array<long>").select("n", F.explode("ks").alias("k"))
     w = "over (partition by k order by n)"
-    ranked = cut(indexed.selectExpr("*", f"row_number() {w} as r", f"lead(n) {w} as after").where("r > 1 or after is not null").drop("after"))
-    left = ranked.where("r > 1").join(numbered.where("not trusted").select("n"), "n", "left_semi")
-    found, start, name = None, 1, numbered.select("n", "core")
+    ranked = cut(indexed.selectExpr("*", f"row_number() {w} as r", f"first(n) {w} as c", f"lead(n) {w} as after").where("r > 1 or after is not null").drop("after"))
+    name, free = numbered.select("n", "core"), numbered.where("not trusted").select("n")
+    # each key's first core is beside every row already; the next ones are joined by key, for the few cores still left
+    pairs = ranked.where("r > 1").select("n", "c").distinct().join(free, "n", "left_semi")
+    left, found, start = ranked.where("r > 2").select("n", "k", "r").join(free, "n", "left_semi"), None, 2
     while True:
-        centers = ranked.where(f"r between {start} and {2 * start - 1}").selectExpr("k", "n as c")
-        pairs = left.join(centers, "k").where("c < n").select("n", "c").distinct()
         spelled = pairs.join(name, "n").join(name.selectExpr("n as c", "core as center"), "c").select("core", "center", "c")
         checked = spelled.mapInPandas(verify, "core string, center string, c long, edits int")
         link = cut(checked.groupBy("core").agg(F.min_by("center", F.struct("edits", "c")).alias("center")))
-        found, start = link if found is None else found.unionByName(link), 2 * start
+        found = link if found is None else found.unionByName(link)
         old, left = left, cut(left.where(f"r > {start}").join(link.join(name, "core").select("n"), "n", "left_anti"))
         release(old)
         if left.isEmpty():
             release(ranked)
             release(left)
             return found
+        centers = ranked.where(f"r between {start} and {2 * start - 1}").selectExpr("k", "n as c")
+        pairs, start = left.join(centers, "k").where("c < n").select("n", "c").distinct(), 2 * start
 
 
 def roots(cores: DataFrame) -> DataFrame:
