@@ -1,8 +1,8 @@
 """Connected components of any number of links, by union-find over bounded forests.
 
 1. Each task runs union-find over its own links and keeps a spanning forest: every node with the root of its tree.
-2. The forests' links are brought together by one end (partitions that come out too large are split by adaptive execution)
-   and merged by union-find again, in chunks of a bounded number of links.
+2. The forests' links are brought together by one end, in as many partitions as chunks of a bounded number of links are
+   needed (ends of more links than a chunk are spread by the other end), and merged by union-find again.
 3. A node that stands in one chunk only is settled: it belongs to whatever its tree belongs to. Nodes of several chunks go
    on to the next level: each is linked with the least of its trees' representatives, and that with the others. There the
    same begins again with fewer nodes, until a level has no node of several chunks.
@@ -10,7 +10,8 @@
 
 Representatives are least by hash, so a chain of links shrinks by a constant share at each level, whatever the order of its
 nodes; and the last node by hash is settled two levels after it came up, so the levels end. A task never holds more than
-a chunk: a node with a third of all links stands in many chunks. All levels run the same code, one chunk or many.
+a chunk: a node with a third of all links stands in many chunks and many partitions. All levels run the same code, one
+chunk or many.
 """
 
 from __future__ import annotations
@@ -99,17 +100,28 @@ def _rank(node: str) -> Column:
     return F.struct(F.xxhash64(node), F.col(node))
 
 
+def _met(links: DataFrame, chunk_links: int) -> DataFrame:
+    """Links (u, v), u the lesser by hash, with all links of u together: as many partitions as there are chunks."""
+    turned = _rank("u") < _rank("v")
+    left = links.select(F.when(turned, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(turned, F.col("v")).otherwise(F.col("u")).alias("v"))
+    chunks = -(-links.count() // chunk_links)
+    if chunks <= 1:
+        return left.coalesce(1)
+    # fewer rows than chunks
+    hot = left.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") > chunk_links).select("u", (F.col("k") / chunk_links).cast("long").alias("salts"))
+    salt = F.pmod(F.xxhash64("v"), F.col("salts") + 1)
+    return left.join(F.broadcast(hot), "u", "left").repartition(chunks, "u", salt).select("u", "v").sortWithinPartitions("u")
+
+
 def components(links: DataFrame, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """(node, root) of every linked node but the roots, as a table, from links (u, v), two columns of strings or of longs;
     root is the smallest node of the component. Nulls link nothing, nor does a link of a node with itself; repeated links count once."""
     u, v = links.columns
     kind = dict(links.dtypes)[u].replace("bigint", "long")
-    links = links.toDF("u", "v").where("u is not null and v is not null and u <> v").mapInArrow(_local(chunk_links), f"u {kind}, v {kind}")
-    levels, previous = [], None
+    links = cut(links.toDF("u", "v").where("u is not null and v is not null and u <> v").mapInArrow(_local(chunk_links), f"u {kind}, v {kind}"))
+    levels = []
     while True:
-        turned = _rank("u") < _rank("v")
-        left = links.select(F.when(turned, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(turned, F.col("v")).otherwise(F.col("u")).alias("v"))
-        met = left.hint("rebalance", "u").sortWithinPartitions("u")
+        met, previous = _met(links, chunk_links), links
         forest = cut(met.mapInArrow(_merged(chunk_links), f"chunk long, node {kind}, root {kind}"))
         release(previous)
         ends = forest.agg(F.min("chunk"), F.max("chunk")).head()
@@ -122,7 +134,7 @@ def components(links: DataFrame, chunk_links: int = CHUNK_LINKS) -> DataFrame:
         settled = forest.join(several, "node", "left_anti").join(rep, ["chunk", "root"], "left").select("node", F.coalesce("rep", "root").alias("root"))
         levels.append(cut(settled.where("node <> root")))
         least = trees.groupBy("node").agg(F.min_by("rep", _rank("rep")).alias("m"))
-        links = previous = cut(trees.join(least, "node").selectExpr("inline(array(struct(m as u, node as v), struct(m as u, rep as v)))").where("u <> v").distinct())
+        links = cut(trees.join(least, "node").selectExpr("inline(array(struct(m as u, node as v), struct(m as u, rep as v)))").where("u <> v").distinct())
         for t in (forest, several, rep, trees):
             release(t)
     found = forest.where("node <> root").select("node", "root")
