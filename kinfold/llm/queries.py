@@ -14,10 +14,17 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+def p3_records(spark: SparkSession, sf: str) -> DataFrame:
     typed = read(spark, sf, "name_records").selectExpr("record_id as key", "name", "false as trusted")
-    register = read(spark, sf, "gleif").selectExpr("lei as key", "legal_name as name", "true as trusted")
-    return spelling.same_entity(typed.unionByName(register))
+    return typed.unionByName(read(spark, sf, "gleif").selectExpr("lei as key", "legal_name as name", "true as trusted"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.same_entity(p3_records(spark, sf))
+
+
+def p3_members(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.members(p3_records(spark, sf))
 
 
 def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +86,7 @@ def p9_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("profile", "doc_id", F.char_length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "kept")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks, "p9_pieces": p9_pieces, "p9_roundtrip": p9_roundtrip}
+QUERIES = {"p3_found": p3_found, "p3_members": p3_members, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks, "p9_pieces": p9_pieces, "p9_roundtrip": p9_roundtrip}
 
 
 def _text(s: str) -> str:

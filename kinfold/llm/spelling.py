@@ -492,10 +492,23 @@ def entities(names: DataFrame) -> DataFrame:
     return known.select("name", F.concat_ws("\x1f", "root", "number", entity).alias("entity"), entity.alias("e")).where("e is not null").select("name", "entity")
 
 
-def same_entity(records: DataFrame) -> DataFrame:
-    """(key_a, key_b): pairs of different keys of one entity, smaller key first, from records (key, name, trusted)."""
+def _known(records: DataFrame) -> DataFrame:
+    """(entity, key), a row each, from records (key, name, trusted)."""
     rows = cut(records.where("key is not null and name is not null").select("key", "name", "trusted").distinct())
     names = rows.groupBy("name").agg(F.count_distinct("key").alias("weight"), F.max("trusted").alias("trusted"))
-    known = cut(rows.join(entities(names), "name").select("entity", "key").distinct())
+    return cut(rows.join(entities(names), "name").select("entity", "key").distinct())
+
+
+def members(records: DataFrame) -> DataFrame:
+    """(key, group_key, links): each record that belongs to an entity, with the smallest key of the entity and the number of
+    other records in it; no pairs are made. A key whose rows bear names of two entities has a row in each."""
+    known = _known(records)
+    groups = known.groupBy("entity").agg(F.min("key").alias("group_key"), (F.count("*") - 1).alias("links"))
+    return known.join(groups, "entity").select("key", "group_key", "links")
+
+
+def same_entity(records: DataFrame) -> DataFrame:
+    """(key_a, key_b): pairs of different keys of one entity, smaller key first, from records (key, name, trusted)."""
+    known = _known(records)
     a, b = known.withColumnRenamed("key", "key_a"), known.withColumnRenamed("key", "key_b")
     return a.join(b, "entity").where("key_a < key_b").select("key_a", "key_b").distinct()

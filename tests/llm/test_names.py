@@ -105,7 +105,9 @@ def test_entities(spark):
     got = {(r.key_a, r.key_b) for r in spelling.same_entity(df).collect()}
     want = {p for i, g in enumerate(GROUPS) for p in combinations([f"k{i}.{j}" for j in range(len(g))], 2)}
     assert got == want
-    assert spelling.same_entity(df.limit(0)).collect() == []
+    linked = {(r.key, r.group_key, r.links) for r in spelling.members(df).collect() if r.links}
+    assert linked == {(f"k{i}.{j}", f"k{i}.0", len(g) - 1) for i, g in enumerate(GROUPS) for j in range(len(g))}
+    assert spelling.same_entity(df.limit(0)).collect() == [] and spelling.members(df.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("ahead", ["o", "obdfghjmnprs"])
