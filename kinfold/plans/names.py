@@ -240,7 +240,7 @@ def explain_edges(spark, sf):
 
 
 def _acronym_rows(spark, sf):
-    """The registers' names and their first letters, so acronyms meet expansions."""
+    """Names of parts and their first letters, so acronyms meet expansions."""
     a = read(spark, sf, "part").selectExpr("p_partkey as row_id", "concat(p_name, ' ', p_type) as name")
     b = read(spark, sf, "part").selectExpr("p_partkey + 1000000000 as row_id", "concat(upper(substring(p_name, 1, 1)), upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(p_type, 1, 1)) as name")
     return a.unionByName(b)
