@@ -125,14 +125,23 @@ def canonical_values(values: DataFrame) -> DataFrame:
     return m.join(classes.alias("c"), ["field_name", "class"]).select("field_name", "value", "canonical", "spellings")
 
 
-def canonical_form(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """(field_name, key, value, canonical) for the columns of df named by fields (field_name -> column); a row per row
-    and field with a value."""
+def field_values(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """(field_name, key, value) for the columns of df named by fields (field_name -> column); a row per row and field with a
+    value."""
     long = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(c).alias("value")) for n, c in fields.items()])).alias("f"))
-    long = long.select("key", "f.*").where("value is not null")
+    return long.select("f.field_name", "key", "f.value").where("value is not null")
+
+
+def with_canonical(long: DataFrame) -> DataFrame:
+    """(field_name, key, value, canonical, spellings) from (field_name, key, value)."""
     return long.join(canonical_values(long), ["field_name", "value"]).select("field_name", "key", "value", "canonical", "spellings")
 
 
+def canonical_form(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """with_canonical of the columns of one table."""
+    return with_canonical(field_values(df, key, fields))
+
+
 def lookalike_pairs(forms: DataFrame) -> DataFrame:
     """(field_name, key_a, key_b): rows of one class, with different keys, whose values aren't the same characters."""
     rows = cut(forms.where("spellings > 1 and key is not null").select("field_name", "canonical", "key", "value").distinct())

@@ -28,10 +28,9 @@ def p3_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
-    uk = lookalike.canonical_form(
-        read(spark, sf, "uk_register"), "company_number", {"uk_register.legal_name": "legal_name", "uk_register.legal_name_translit": "legal_name_translit"}
-    )
-    return uk.unionByName(lookalike.canonical_form(read(spark, sf, "party_aliases"), "alias_key", {"party_aliases.name": "name"}))
+    uk = {"uk_register.legal_name": "legal_name", "uk_register.legal_name_translit": "legal_name_translit"}
+    long = lookalike.field_values(read(spark, sf, "uk_register"), "company_number", uk)
+    return lookalike.with_canonical(long.unionByName(lookalike.field_values(read(spark, sf, "party_aliases"), "alias_key", {"party_aliases.name": "name"})))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
