@@ -15,7 +15,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import constant_map, let
@@ -118,11 +118,12 @@ def looks(text: Column) -> Column:
 def canonical_values(values: DataFrame) -> DataFrame:
     """For distinct (field_name, value): (field_name, value, canonical, spellings of the class)."""
     mapped = cut(values.where("value is not null").select("field_name", "value").distinct().withColumn("look", looks(F.col("value"))))
-    look = F.collate("look", "UNICODE")
-    plainest = F.min_by("value", F.struct(F.col("value") != F.col("look"), F.octet_length("value"), "value"))
-    classes = mapped.groupBy("field_name", look.alias("class")).agg(plainest.alias("canonical"), F.count("*").alias("spellings"))
-    m = mapped.withColumn("class", look).alias("m")
-    return m.join(classes.alias("c"), ["field_name", "class"]).select("field_name", "value", "canonical", "spellings")
+    plainest = F.struct((F.col("value") != F.col("look")).alias("mapped"), F.octet_length("value").alias("bytes"), "value")
+    # each look once: comparing under a collation is dear, so members meet their class again by the look's own bytes
+    each = mapped.groupBy("field_name", "look").agg(F.min(plainest).alias("best"), F.count("*").alias("n"))
+    equal = Window.partitionBy("field_name", F.collate("look", "UNICODE"))
+    classes = each.select("field_name", "look", F.min("best").over(equal)["value"].alias("canonical"), F.sum("n").over(equal).alias("spellings"))
+    return mapped.join(classes, ["field_name", "look"]).select("field_name", "value", "canonical", "spellings")
 
 
 def field_values(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
