@@ -369,6 +369,13 @@ def generate_examples(spark, sf):
     return generate.generate_examples(spark, n_entities=n)
 
 
+def generate_invariants(spark, sf):
+    """(true_entity_id, true_canonical, kept): one to eight different variants for each entity, none of them blank."""
+    each = generate_examples(spark, sf).groupBy("true_entity_id", "true_canonical")
+    got = each.agg(F.count("*").alias("k"), F.count_distinct("variant_name").alias("d"), F.min(F.length(F.trim("variant_name"))).alias("shortest"))
+    return got.select("true_entity_id", "true_canonical", F.expr("k = d and k between 1 and 8 and shortest > 0").alias("kept"))
+
+
 # ---------------------------------------------------------------- SQL
 
 _NORM = duckdb_normalize("name")
@@ -556,6 +563,10 @@ SQL = {
       SELECT doc_id, source, n_chars, text FROM c WHERE k % greatest(1, n // 20) = 0 AND k < greatest(1, n // 20) * 20""",
     "dba_alias_rows": """SELECT uei AS entity_id, 'Entity' AS entity_type, true AS is_primary, 'PRIMARY' AS alias_type, legal_name AS name FROM sam_entities WHERE length(legal_name) > 0
       UNION ALL SELECT uei, 'Entity', false, 'DBA', dba_name FROM sam_entities WHERE length(dba_name) > 0 AND dba_name <> legal_name""",
+    "generate_invariants": """WITH w AS (SELECT string_split('North South Blue Green Silver Golden Summit River Harbor Pioneer Liberty Atlas Orion', ' ') AS a, string_split('Bridge Ridge Field Stone', ' ') AS b,
+      string_split('Manufacturing,Trading,Foods,Technologies,Holdings,Services,Import Export,Solutions,Industries,International Group,Development', ',') AS c, string_split('Inc LLC Ltd Limited Corp Corporation Co Company LLP LP PLC', ' ') AS d),
+      i AS (SELECT i, i % 52 AS j, i // 52 AS lap FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS i) x)
+      SELECT i AS true_entity_id, a[j % 13 + 1] || ' ' || b[j // 13 % 4 + 1] || ' ' || c[j % 11 + 1] || ' ' || d[j % 11 + 1] || CASE WHEN lap > 0 THEN ' ' || lap ELSE '' END AS true_canonical, true AS kept FROM i, w""",
     "partition_roundtrip": f"{_BASE} SELECT row_id, block, name FROM names WHERE block IS NOT NULL",
     "cluster_threshold_sweep": " UNION ALL ".join(f"SELECT * FROM ({_clustered(t)} SELECT {t}::DOUBLE AS threshold, count(DISTINCT cluster_id) AS n_clusters, count(*) FILTER (cluster_id IS NULL) AS n_null FROM result)" for t in (0.9, 0.95, 0.99)),
 }
@@ -621,5 +632,5 @@ QUERIES = {
     "cluster_threshold_sweep": cluster_threshold_sweep, "cluster_sizes_top": cluster_sizes_top, "explain_edges": explain_edges, "acronym_map": acronym_map, "score_clusters": score_clusters,
     "lsh_calibrate_grid": lsh_calibrate_grid, "score_buckets": score_buckets, "bucket_distribution": bucket_distribution, "bucket_sample": bucket_sample, "context_join": context_join,
     "evaluation_set": evaluation_set, "audit_stats": audit_stats, "audit_describe": audit_describe, "audit_apart": audit_apart, "audit_collisions": audit_collisions, "audit_alias_recall": audit_alias_recall, "audit_tail_tokens": audit_tail_tokens,
-    "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "sample_evenly": sample_evenly, "seeded_sample": seeded_sample, "partition_values": partition_values, "stream_assign": stream_assign, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples,
+    "audit_head_tokens": audit_head_tokens, "audit_sample": audit_sample, "sample_evenly": sample_evenly, "seeded_sample": seeded_sample, "partition_values": partition_values, "stream_assign": stream_assign, "dba_alias_rows": dba_alias_rows, "partition_roundtrip": partition_roundtrip, "generate_examples": generate_examples, "generate_invariants": generate_invariants,
 }
